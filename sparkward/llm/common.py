@@ -62,3 +62,12 @@ def partitions_for(total_bytes: int, per_partition: int, least: int = 12) -> int
 
 def total_text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id and text are in stay (doc_id, raw_hash: xxhash64 of the
+    text). Of rows that share both, one stays."""
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("raw_hash").alias("__raw")).distinct()
+    keyed = docs.withColumn("__hash", F.xxhash64(text_of(docs)))
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__raw"))
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)

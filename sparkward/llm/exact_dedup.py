@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, text_of, written
+from .common import ids_and_text, keep_rows, written
 
 WINDOW = 32
 MASK = np.uint32((1 << 11) - 1 << 16)  # a cut every 2 KB on average
@@ -120,6 +120,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Repeats of one doc_id with one text count as one row."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("raw_hash").alias("__hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64(text_of(docs)))
-    return keyed.join(stay.withColumnRenamed("__hash", "__h"), (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("__hash") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    return keep_rows(docs, exact_dedup(docs).where("kept"))

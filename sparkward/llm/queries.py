@@ -10,6 +10,7 @@ from .common import read_table
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
@@ -20,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = ngram_join(read_table(spark, sf_dir, "documents"))
+    return rows.drop("raw_hash")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
