@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .ngram_join import ngram_join
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .suffix_dedup import suffix_dedup
@@ -44,6 +45,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("blob")
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
