@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .bpe import bpe_round_trip
+from .chat_format import chat_tree, read_back
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .ngram_join import ngram_join
@@ -41,6 +42,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", added), (-7, 1, "assistant", added)], "conv_id long, turn long, role string, text string")
+    return read_back(*chat_tree(rows.unionByName(own)))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
@@ -71,7 +80,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ESCAPED = """length({0}) + len(regexp_extract_all({0}, '\\\\|<\\||</?s>|\\[/?INST\\]'))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + 23)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
