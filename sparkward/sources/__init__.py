@@ -1 +1 @@
-
+"""Where rows come from: repositories, manifests, baselines, scan state."""

@@ -1 +1 @@
-
+"""Prompt risk and findings as streams."""
