@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges to as few that connect the same nodes: each node and the least of its component here."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(a), root(b)
+            if x < y:
+                parent[y] = x
+            elif y < x:
+                parent[x] = y
+    low = [(x, root(x)) for x in parent]
+    low = [(x, r) for x, r in low if x != r]
+    for i in range(0, len(low), 100_000):
+        part = low[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label for every node that has an edge: label is the least node of its component.
 
-    Each round is two aggregations and joins on narrow rows, and ends in a written table. No node's neighbours are ever
+    First every partition of edges becomes a forest, so what is shuffled is bounded by nodes, not edges (edges that
+    were found together mostly lie together). Each round is two aggregations and joins on narrow rows, and ends in a written table. No node's neighbours are ever
     gathered. The number of rounds grows with the logarithm of the longest path.
     """
-    stars = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+    forest = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).mapInArrow(_forest, "u long, v long")
+    stars = written(forest.distinct(), "edges")
     told = None
     while True:
         # large star: neighbours above a node are tied to its least neighbour

@@ -322,7 +322,7 @@ def _where_path(rows: DataFrame, paths: list[int], inside: bool) -> DataFrame:
 
 
 def candidates(reps: DataFrame, threshold: float, recall: float, limit: int, share: int = SHARE) -> DataFrame:
-    """Distinct pairs a < b of uids whose sketches agree enough, of all runs. reps: a written table of sets."""
+    """Pairs a < b of uids whose sketches agree enough, of all runs (so some come several times). reps: a written table of sets."""
     runs, least = runs_for(recall, threshold), least_agreement(threshold)
     sets = reps.where("grams > 0")
     rows = sets.select("uid", "tokens", "sketch").mapInArrow(_split(runs), _ROWS)
@@ -351,7 +351,7 @@ def candidates(reps: DataFrame, threshold: float, recall: float, limit: int, sha
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
-    return written(out.distinct(), "candidates")
+    return out  # of written tables
 
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, limit: int, least: int) -> DataFrame:
@@ -404,10 +404,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     # each component's texts go to one group, or a large component's to one for each two blocks that have pairs
     label = written(components(pairs), "labels")
     sizes = label.groupBy("label").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    placed = written(label.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "placed")
-    pa_, pb = placed.select(F.col("node").alias("a"), "label", F.col("block").alias("x")), placed.select(F.col("node").alias("b"), F.col("block").alias("y"))
-    key = F.xxhash64("label", F.least("x", "y"), F.greatest("x", "y")).alias("key")
-    keyed = written(pairs.join(pa_, "a").join(pb, "b").select(key, "a", "b"), "keyed")
+    placed = label.join(sizes, "label").select(F.col("node").alias("a"), "label", "blocks")
+    x, y = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))  # both ends are of one component
+    key = F.xxhash64("label", F.least(x, y), F.greatest(x, y)).alias("key")
+    keyed = written(pairs.join(placed, "a").select("a", "b", key).dropDuplicates(["a", "b"]).select("key", "a", "b"), "keyed")
     needed = keyed.select("key", F.col("a").alias("uid")).unionByName(keyed.select("key", F.col("b").alias("uid"))).distinct()
     wanted = needed.join(reps.select("uid", "cls", "d"), "uid")
     texts = docs.withColumn("d", F.coalesce("doc_id", F.lit(_FIRST))).join(wanted, "d").select("key", "uid", "cls", "text")
