@@ -36,8 +36,7 @@ FOLDS = 3
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$*!|+](?:\S*[^\W\d_]))\S+")
-_STRETCH = re.compile(r"([^\W\d_])\1{2,}")
+_MIXED = re.compile(r"[0-9@$*!|+]+(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_](?!\w)")
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
 _SECOND = frozenset("you your yours yourself ur u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -56,8 +55,18 @@ class Lexicon:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
+        self.memo: dict[str, tuple[float, bool]] = {}
 
     def weight(self, word: str) -> tuple[float, bool]:
+        """Weight, 0 outside of the lexicon, and whether the whole word is in it."""
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            found = self.memo[word] = self._weight(word)
+        return found
+
+    def _weight(self, word: str) -> tuple[float, bool]:
         if (w := self.words.get(word)) is not None:
             return w, True
         for n in self.lengths:
@@ -68,36 +77,46 @@ class Lexicon:
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     raw = _WORD.findall(text)
-    low = [w.lower() for w in raw]
+    low = _WORD.findall(text.lower())
     n = len(low)
     count = Counter(low)
-    hits = {w: lexicon.weight(w) for w in count}
-    hit = {w: x for w, x in hits.items() if x[0] > 0}
+    hit = {w: x for w in count if (x := lexicon.weight(w))[0] > 0}
     words = sum(count[w] for w, x in hit.items() if x[1])
     stems = sum(count[w] for w, x in hit.items() if not x[1])
     weighted = sum(count[w] * x[0] for w, x in hit.items())
-    seconds = sum(count[w] for w in _SECOND if w in count)
+    seconds = sum(count[w] for w in _SECOND & count.keys())
     near = 0
     if hit and seconds:
-        at = [i for i, w in enumerate(low) if w in _SECOND]
-        for i, w in enumerate(low):
-            if w in hit and any(abs(i - j) <= NEAR for j in at):
-                near += 1
-    undone = mixed = 0
-    for m in _MIXED.finditer(text):
+        at = np.array([i for i, w in enumerate(low) if w in _SECOND])
+        own = np.array([i for i, w in enumerate(low) if w in hit])
+        left = np.searchsorted(at, own)
+        gap = np.minimum(np.abs(own - at[np.maximum(left - 1, 0)]), np.abs(own - at[np.minimum(left, len(at) - 1)]))
+        near = int((gap <= NEAR).sum())
+    undone = mixed = end = 0
+    for m in _MIXED.finditer(text):  # digits or symbols between letters: look at the whole word once
+        if m.start() < end or m.start() == 0 or not text[m.start() - 1].isalpha():
+            continue
+        a = m.start()
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        end = m.end()
+        while end < len(text) and not text[end].isspace():
+            end += 1
         mixed += 1
-        undone += lexicon.weight(re.sub(r"[\W\d_]+", "", m.group().lower().translate(_LEET)))[0] > 0
-    for m in _SPACED.finditer(text):
-        undone += lexicon.weight(re.sub(r"[\W_]+", "", m.group().lower()))[0] > 0
-    stretched = 0
-    for m in _STRETCH.finditer(text):
-        stretched += 1
+        undone += lexicon.weight(re.sub(r"[\W\d_]+", "", text[a:end].lower().translate(_LEET)))[0] > 0
+    if sum(len(w) == 1 for w in low) > 3:
+        for m in _SPACED.finditer(text):
+            undone += lexicon.weight(re.sub(r"[\W_]+", "", m.group().lower()))[0] > 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    triple = (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) if len(codes) > 2 else np.zeros(0, bool)
+    stretched = int((np.diff(np.concatenate([[0], (triple & (codes[2:] >= 65) & (((codes[2:] | 32) - 97) < 26)).astype(np.int8)])) == 1).sum()) if triple.any() else 0
     letters = sum(map(len, raw))
-    upper = sum(map(str.isupper, text)) if letters else 0
+    mixed_case = [w for w in raw if not w.islower()]
+    upper = sum(sum(map(str.isupper, w)) for w in mixed_case)
     marks = len(text) - letters - text.count(" ") - text.count("\n")
     per = 100 / (n or 1)
     return [
-        float(words), float(stems), weighted, float(len(hit)), (words + stems) * per, seconds * per, float(near), upper / (letters or 1), sum(len(w) > 2 and w.isupper() for w in raw) * per,
+        float(words), float(stems), weighted, float(len(hit)), (words + stems) * per, seconds * per, float(near), upper / (letters or 1), sum(len(w) > 2 and w.isupper() for w in mixed_case) * per,
         (text.count("!") + text.count("?")) * per, marks / (len(text) or 1), mixed * per, stretched * per, float(undone), math.log1p(n), letters / (n or 1),
     ]
 
