@@ -142,7 +142,7 @@ class Vocabulary:
         out: list = [None] * len(words)
         short = []
         for k, w in enumerate(words):
-            if len(w) > 40 or w in self.special:
+            if not 0 < len(w) <= 40 or w in self.special:
                 out[k] = np.array(self.merge(w), np.uint32)
             else:
                 short.append(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -64,6 +65,20 @@ def total_text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+_READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(stage):
+    """A stage that returns rows of docs with all their columns: columns that it doesn't read go by other names inside."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        columns = [F.col("`" + c.replace("`", "``") + "`").alias(c if c in _READ else f"x{k}") for k, c in enumerate(docs.columns)]
+        return stage(docs.select(*columns), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id and text are in stay (doc_id, raw_hash: xxhash64 of the
     text). Of rows that share both, one stays."""

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, keep_rows, written
+from .common import ids_and_text, keep_rows, shielded, written
 
 WINDOW = 32
 MASK = np.uint32((1 << 11) - 1 << 16)  # a cut every 2 KB on average
@@ -118,6 +118,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+@shielded
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Repeats of one doc_id with one text count as one row."""
     return keep_rows(docs, exact_dedup(docs).where("kept"))

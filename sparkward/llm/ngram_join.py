@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, keep_rows, written
+from .common import ids_and_text, keep_rows, shielded, written
 from .components import components
 
 N = 3
@@ -426,6 +426,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     return rows, told.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "similarity")
 
 
+@shielded
 def keep_one_of_similar(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each class_id, with all their columns."""
     rows, _ = ngram_join(docs)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import shielded, text_of, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -157,6 +157,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return judged(counted, limits).select("doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS[:5]], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+@shielded
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns. Counts are made twice: once for the fences, once to filter."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"))

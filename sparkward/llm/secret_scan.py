@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, new_table_path, text_of
+from .common import ids_and_text, new_table_path, shielded, text_of
 
 RULE_VERSION = 1
 
@@ -120,6 +120,7 @@ def _masked(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
+@shielded
 def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """docs with each secret replaced by MASK and n_chars, where there is one, set anew; all rows and columns stay."""
     ledger = ledger or new_table_path(docs.sparkSession, "secret-ledger")
