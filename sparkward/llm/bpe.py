@@ -56,12 +56,14 @@ def _pair_table(merges: dict[tuple[int, int], tuple[int, int]]) -> tuple[np.ndar
     """The merges as an open-addressed table of keys, ranks and results, for lookups of many pairs at once."""
     slots = 1 << max(8, (4 * len(merges)).bit_length())
     keys, ranks, results = np.full(slots, -1, np.int64), np.full(slots, NO_RANK, np.int64), np.zeros(slots, np.int64)
-    for (a, b), (rank, to) in merges.items():
-        key = a << 32 | b
-        at = int(_slot(np.array([key], np.int64), slots)[0])
-        while keys[at] >= 0:
+    named = np.array([a << 32 | b for a, b in merges], np.int64)
+    taken, places = set(), []
+    for at in _slot(named, slots).tolist():
+        while at in taken:
             at = (at + 1) & (slots - 1)
-        keys[at], ranks[at], results[at] = key, rank, to
+        taken.add(at)
+        places.append(at)
+    keys[places], ranks[places], results[places] = named, [r for r, _ in merges.values()], [t for _, t in merges.values()]
     return keys, ranks, results
 
 
