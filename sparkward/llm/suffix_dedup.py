@@ -35,8 +35,8 @@ from .common import ids_and_text, partitions_for, total_text_bytes
 
 LENGTH = 100
 GRAM = 16
-SHARD_BYTES = 3 << 20  # of one suffix array
-GROUP_BYTES = 16 << 20  # of text in one group of step 2 and 4
+SHARD_BYTES = 2 << 20  # of one suffix array
+GROUP_BYTES = 8 << 20  # of text in one group of step 2 and 4
 ANCHOR_BYTES = 48 << 20  # of text whose anchors meet in one bucket of step 1
 MERGE_BYTES = 8 << 20  # of text whose pieces meet in one bucket of step 3
 HOT = 2000  # tasks that report an anchor before its windows travel singly
@@ -185,11 +185,13 @@ def pack(keys: np.ndarray, rows: np.ndarray, rest: bytes = b"") -> bytes:
     used, number = np.unique(rows["doc"], return_inverse=True)
     rows = rows.copy()
     rows["doc"] = number
-    # column by column, which compresses better
-    return b"".join([len(used).to_bytes(4, "little"), len(rows).to_bytes(4, "little"), keys[used].tobytes(), *(rows[f].tobytes() for f in rows.dtype.names), rest])
+    # column by column, which compresses better; Spark's own codec is made for speed
+    whole = b"".join([len(used).to_bytes(4, "little"), len(rows).to_bytes(4, "little"), keys[used].tobytes(), *(rows[f].tobytes() for f in rows.dtype.names), rest])
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
 
 
 def unpack(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, memoryview]:
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
     n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     keys = np.frombuffer(blob, KEY, n, 8)
     rows, at = np.empty(m, kind), 8 + n * KEY.itemsize
@@ -302,7 +304,7 @@ def report_anchors(buckets: int, shards: int):
     return run
 
 
-def count_anchors(shards: int):
+def count_anchors(shards: int, hot: int = HOT):
     def run(table: pa.Table) -> pa.Table:
         kinds, homes, blobs = table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("blob").to_pylist()
         rows = [(h, b) for k, h, b in zip(kinds, homes, blobs) if k]
@@ -313,7 +315,7 @@ def count_anchors(shards: int):
         size = np.repeat(np.diff(np.append(edge, len(found))), np.diff(np.append(edge, len(found))))
         found, size = found[size > 1], size[size > 1]
         marks = np.zeros(len(found), MARK)
-        marks["doc"], marks["pos"], marks["hot"] = found["doc"], found["pos"], size > HOT
+        marks["doc"], marks["pos"], marks["hot"] = found["doc"], found["pos"], size > hot
         marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
         for shard, own in by_part(shard_of(keys["id"][marks["doc"]], shards)):
             rows.append((shard, pack(keys, marks[own])))
@@ -572,14 +574,14 @@ def cut_spans(with_kept: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the bytes that stay."""
     docs = ids_and_text(docs)
     total = total_text_bytes(docs)
     shards, anchor_buckets, merge_buckets = partitions_for(total, GROUP_BYTES), partitions_for(total, ANCHOR_BYTES), partitions_for(total, MERGE_BYTES)
     travel, home = "bucket long, kind int, shard long, blob binary", "shard long, blob binary"
     sharded = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST))), F.lit(shards)))
-    marks = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).groupBy("bucket").applyInArrow(count_anchors(shards), home)
+    marks = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).groupBy("bucket").applyInArrow(count_anchors(shards, hot), home)
     pieces = sharded.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards), travel)
     spans = pieces.groupBy("bucket").applyInArrow(merge_pieces(shards), home)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
