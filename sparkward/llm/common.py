@@ -82,7 +82,9 @@ def shielded(stage):
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id and text are in stay (doc_id, raw_hash: xxhash64 of the
     text). Of rows that share both, one stays."""
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("raw_hash").alias("__raw")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64(text_of(docs)))
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__raw"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    first = F.lit(-(1 << 63))
+    key = lambda doc_id, text_hash: {"__d": F.coalesce(doc_id.cast("long"), first), "__n": doc_id.isNull(), "__hash": text_hash}
+    named = stay.select(*[c.alias(n) for n, c in key(stay["doc_id"], stay["raw_hash"]).items()]).distinct()
+    keyed = docs.withColumns(key(docs["doc_id"], F.xxhash64(text_of(docs))))
+    # the texts are shuffled once: rows that share the key are in one partition after the join
+    return keyed.join(named, ["__d", "__n", "__hash"], "left_semi").dropDuplicates(["__d", "__n", "__hash"]).select(*docs.columns)
