@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, partitions_for, total_text_bytes
+from .common import ids_and_text, partitions_for, total_text_bytes, written
 
 LENGTH = 100
 GRAM = 16
@@ -39,7 +39,8 @@ SHARD_BYTES = 2 << 20  # of one suffix array
 GROUP_BYTES = 8 << 20  # of text in one group of step 2 and 4
 ANCHOR_BYTES = 48 << 20  # of text whose anchors meet in one bucket of step 1
 MERGE_BYTES = 8 << 20  # of text whose pieces meet in one bucket of step 3
-HOT = 2000  # tasks that report an anchor before its windows travel singly
+HOT = 2000  # tasks that report an anchor before its windows travel singly, if these are also
+HOT_SHARE = 1 << 20  # more than one in HOT_SHARE of all reports: so no more hashes than that are broadcast
 BLOCK = 1 << 18  # windows merged at a time
 _FIRST = -(1 << 63)  # where a null doc_id stands
 
@@ -175,7 +176,7 @@ def merged_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np
 
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 KEY = np.dtype([("id", "<i8"), ("tag", "<i8")])
-MARK = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("hot", "u1")])
+MARK = np.dtype([("doc", "<u4"), ("pos", "<u4")])
 SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 PIECE = np.dtype([("group", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u4")])
 
@@ -233,6 +234,7 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 MARKS, SPANS = 1, 2
 _TRAVEL = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("blob", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("hash", pa.int64()), ("n", pa.int64())])
 _HOME = pa.schema([("shard", pa.int64()), ("blob", pa.binary())])
 
 
@@ -304,22 +306,25 @@ def report_anchors(buckets: int, shards: int):
     return run
 
 
-def count_anchors(shards: int, hot: int = HOT):
+def count_anchors(shards: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, homes, blobs = table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("blob").to_pylist()
-        rows = [(h, b) for k, h, b in zip(kinds, homes, blobs) if k]
+        rows = [(h, b, None, None) for k, h, b in zip(kinds, homes, blobs) if k]
         keys, found, _ = unpack_all([b for k, b in zip(kinds, blobs) if not k], ANCHOR)
+        rows.append((None, None, None, len(found)))
         order = np.argsort(found["hash"], kind="stable")
         found = found[order]
         edge = np.flatnonzero(np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]])) if len(found) else np.zeros(0, int)
         size = np.repeat(np.diff(np.append(edge, len(found))), np.diff(np.append(edge, len(found))))
-        found, size = found[size > 1], size[size > 1]
+        often = np.unique(found["hash"][size > hot], return_counts=True)
+        rows += [(None, None, h, n) for h, n in zip(often[0].view(np.int64).tolist(), often[1].tolist())]
+        found = found[size > 1]
         marks = np.zeros(len(found), MARK)
-        marks["doc"], marks["pos"], marks["hot"] = found["doc"], found["pos"], size > hot
+        marks["doc"], marks["pos"] = found["doc"], found["pos"]
         marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
         for shard, own in by_part(shard_of(keys["id"][marks["doc"]], shards)):
-            rows.append((shard, pack(keys, marks[own])))
-        return pa.Table.from_batches([_table(rows, _HOME)])
+            rows.append((shard, pack(keys, marks[own]), None, None))
+        return pa.Table.from_batches([_table(rows, _COUNTED)])
 
     return run
 
@@ -342,7 +347,7 @@ def number_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: int, shards: int) -> list[tuple]:
-    """One suffix array: texts in order, marked and hot: by anchor position in data. Rows for step 3."""
+    """One suffix array: texts in order, marked by anchor position in data, hot a list of hashes. Rows for step 3."""
     at, owner, hashes = owners(texts.data, texts.starts, texts.ends)
     own = marked[owner]
     at, owner = at[own], owner[own]
@@ -368,7 +373,7 @@ def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: in
     rows += span_rows(texts.keys, doc[covered], (at - texts.starts[doc])[covered], buckets, shards)
     # distinct windows go to step 3: runs with one anchor as one piece, those of hot anchors singly
     at, owner, doc = at[~covered], owner[~covered], doc[~covered]
-    single = hot[owner]
+    single = np.isin(hashes[owner], hot)  # the same for all places of an anchor, wherever they are
     new = np.concatenate([[True], (np.diff(at) != 1) | (owner[1:] != owner[:-1]) | single[1:] | single[:-1]])
     edge = np.flatnonzero(new)
     pieces = np.zeros(len(edge), PIECE)
@@ -401,7 +406,7 @@ def span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int
     return [(shard % buckets, SPANS, shard, pack(keys, spans[own])) for shard, own in by_part(shard_of(keys["id"][spans["doc"]], shards))]
 
 
-def sort_shards(buckets: int, shards: int):
+def sort_shards(buckets: int, shards: int, hot):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         ids, texts = unique_texts(docs)
         keys, found, _ = unpack_all(marks.column("blob").to_pylist(), MARK)
@@ -421,11 +426,9 @@ def sort_shards(buckets: int, shards: int):
             part = Texts([ids[d] for d in some_docs], [texts[d] for d in some_docs])
             lo, hi = np.searchsorted(doc, some_docs[0]), np.searchsorted(doc, some_docs[-1], "right")
             local = np.searchsorted(some_docs, doc[lo:hi])
-            marked, hot = np.zeros(len(part.data), bool), np.zeros(len(part.data), bool)
-            where = part.starts[local] + found["pos"][lo:hi]
-            marked[where] = True
-            hot[where[found["hot"][lo:hi] == 1]] = True
-            rows += shard_windows(part, marked, hot, buckets, shards)
+            marked = np.zeros(len(part.data), bool)
+            marked[part.starts[local] + found["pos"][lo:hi]] = True
+            rows += shard_windows(part, marked, hot.value, buckets, shards)
             a = b
         return pa.Table.from_batches([_table(rows, _TRAVEL)])
 
@@ -581,8 +584,13 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> Da
     shards, anchor_buckets, merge_buckets = partitions_for(total, GROUP_BYTES), partitions_for(total, ANCHOR_BYTES), partitions_for(total, MERGE_BYTES)
     travel, home = "bucket long, kind int, shard long, blob binary", "shard long, blob binary"
     sharded = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST))), F.lit(shards)))
-    marks = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).groupBy("bucket").applyInArrow(count_anchors(shards, hot), home)
-    pieces = sharded.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards), travel)
+    counted = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).groupBy("bucket").applyInArrow(count_anchors(shards, hot), "shard long, blob binary, hash long, n long")
+    counted = written(counted, "anchors")
+    reports = counted.where("shard IS NULL AND hash IS NULL").agg(F.sum("n")).first()[0] or 0
+    often = [r["hash"] for r in counted.where("hash IS NOT NULL").where(F.col("n") > max(hot, reports // HOT_SHARE)).select("hash").collect()]
+    hot_hashes = docs.sparkSession.sparkContext.broadcast(np.array(often, np.int64).view(np.uint64))
+    marks = counted.where("shard IS NOT NULL").select("shard", "blob")
+    pieces = sharded.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards, hot_hashes), travel)
     spans = pieces.groupBy("bucket").applyInArrow(merge_pieces(shards), home)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
     return sharded.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cut_spans(with_kept), result)
