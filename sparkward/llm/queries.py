@@ -82,7 +82,41 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 _ESCAPED = """length({0}) + len(regexp_extract_all({0}, '\\\\|<\\||</?s>|\\[/?INST\\]'))"""
 
+#: Fences of the quality rules, as quality_rules.py has them: counts, then sketches by bucket, then quartiles.
+_QUARTILES = """SELECT {by}, metric, max(total) AS n, min(CASE WHEN upto >= ceil(total * 0.25) THEN value END) AS q1, min(CASE WHEN upto >= ceil(total * 0.5) THEN value END) AS q2, min(CASE WHEN upto >= ceil(total * 0.75) THEN value END) AS q3
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}, metric) AS total, CASE WHEN bucket < 0 THEN 0.0 ELSE 2 * pow(1.04::DOUBLE, bucket) / 2.04 END AS value
+          FROM (SELECT {by}, metric, bucket, sum(n) AS n FROM sketch GROUP BY {by}, metric, bucket)) GROUP BY {by}, metric"""
+_FENCE = "greatest(CASE metric WHEN 'word_length' THEN 16000 WHEN 'symbols' THEN 60 WHEN 'repeated_lines' THEN 400 WHEN 'repeated_words' THEN 200 ELSE 300 END::DOUBLE, q3 + 8.0 * greatest(q3 - q1, q2 / 10))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p FROM d)),
+        c AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+        i AS (SELECT doc_id, p, sum(CASE WHEN p > last + 100 OR last IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM c)),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, g),
+        k AS (SELECT r.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+              FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r) r JOIN d USING (doc_id) GROUP BY r.doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_quality_rules": f"""
+        WITH t AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text FROM documents),
+        x AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+        g AS (SELECT doc_id, i, w[i:i + 4] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM x)),
+        m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM m, (SELECT unnest([0, 1, 2, 3, 4]) AS o) GROUP BY doc_id),
+        c AS (SELECT x.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter
+              FROM x LEFT JOIN rep USING (doc_id)),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+        v AS (SELECT doc_id, lang, source, base_failed, unnest(['word_length', 'symbols', 'repeated_lines', 'repeated_words', 'stutter']) AS metric,
+                     unnest([word_chars * 1000 // greatest(n_words, 1), n_symbols * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1), n_stutter * 1000 // greatest(n_words, 1)]) AS value FROM f),
+        sketch AS (SELECT lang, source, 1 AS one, metric, CASE WHEN value <= 0 THEN -1 ELSE ceil(ln(value::DOUBLE) / ln(1.04::DOUBLE))::INT END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+        own AS (SELECT *, CASE WHEN n >= 200 THEN {_FENCE} END AS fence FROM ({_QUARTILES.format(by="lang, source")})), bylang AS (SELECT *, CASE WHEN n >= 200 THEN {_FENCE} END AS fence FROM ({_QUARTILES.format(by="lang")})),
+        every AS (SELECT *, {_FENCE} AS fence FROM ({_QUARTILES.format(by="one")})),
+        fences AS (SELECT own.lang, own.source, own.metric, coalesce(own.fence, bylang.fence, every.fence) AS fence FROM own LEFT JOIN bylang USING (lang, metric) LEFT JOIN every USING (metric)),
+        beyond AS (SELECT v.doc_id, bool_or(v.value > fence) AS beyond FROM v JOIN fences USING (lang, source, metric) GROUP BY v.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM f LEFT JOIN beyond USING (doc_id)""",
     "op6_chat_format": f"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
