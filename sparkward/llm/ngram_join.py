@@ -181,8 +181,16 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _split(runs: int):
-    """Rows (uid, tokens, sketch, and path except at the start) to their children."""
+def _rows_of(uid: np.ndarray, sketches: np.ndarray, paths: np.ndarray) -> pa.RecordBatch:
+    """paths: (n, BRANCHES), the children of each row."""
+    return pa.RecordBatch.from_arrays([pa.array(paths.reshape(-1).view(np.int64)), pa.array(np.repeat(uid, BRANCHES)), _fixed(np.repeat(sketches, BRANCHES, 0))], ["path", "uid", "sketch"])
+
+
+def _expand(runs: int, splits: list[np.ndarray]):
+    """Sets to their rows on the level after these splits: level by level, only paths that were split there go on.
+
+    Known paths are few and their lists are sent along, so every level is made from the sets anew, without a shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,17 +198,28 @@ def _split(runs: int):
                 part = batch.slice(lo, 4000)
                 tokens, sketches = _matrix(part.column("tokens"), np.uint32, WIDTH), _matrix(part.column("sketch"), np.uint64, 4)
                 uid = part.column("uid").to_numpy(zero_copy_only=False)
-                if "path" in part.schema.names:
-                    starts = [part.column("path").to_numpy(zero_copy_only=False).view(np.uint64)]
-                else:
-                    starts = [np.full(part.num_rows, r + 1, np.uint64) for r in range(runs)]
-                for paths in starts:
-                    next_ = children(paths, tokens)
-                    yield pa.RecordBatch.from_arrays([pa.array(next_.reshape(-1).view(np.int64)), pa.array(np.repeat(uid, BRANCHES)), _fixed(np.repeat(sketches, BRANCHES, 0))], ["path", "uid", "sketch"])
+                for r in range(runs):
+                    at, paths = np.arange(len(uid)), np.full(len(uid), r + 1, np.uint64)
+                    for split in splits:
+                        next_ = children(paths, tokens[at]).reshape(-1)
+                        keep = np.isin(next_.view(np.int64), split)
+                        at, paths = np.repeat(at, BRANCHES)[keep], next_[keep]
+                    if len(at):
+                        yield _rows_of(uid[at], sketches[at], children(paths, tokens[at]))
 
     return run
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, uid, tokens, sketch) to their children."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4000):
+            part = batch.slice(lo, 4000)
+            tokens, sketches = _matrix(part.column("tokens"), np.uint32, WIDTH), _matrix(part.column("sketch"), np.uint64, 4)
+            paths = part.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield _rows_of(part.column("uid").to_numpy(zero_copy_only=False), sketches, children(paths, tokens))
+
+
 def resemble(sketches: np.ndarray) -> bool:
     """Whether sets drawn from a node are mostly alike."""
     few = sketches[:: max(1, len(sketches) // 32)][:32]
@@ -324,30 +343,38 @@ def _where_path(rows: DataFrame, paths: list[int], inside: bool) -> DataFrame:
 def candidates(reps: DataFrame, threshold: float, recall: float, limit: int, share: int = SHARE) -> DataFrame:
     """Pairs a < b of uids whose sketches agree enough, of all runs (so some come several times). reps: a written table of sets."""
     runs, least = runs_for(recall, threshold), least_agreement(threshold)
-    sets = reps.where("grams > 0")
-    rows = sets.select("uid", "tokens", "sketch").mapInArrow(_split(runs), _ROWS)
+    sets = reps.where("grams > 0").select("uid", "tokens", "sketch")
     pairs: list[DataFrame] = []
+    splits: list[np.ndarray] = []  # of each level, the known paths that were split
+    more: DataFrame | None = None  # rows of paths that turned out too large only when they were streamed
     for level in range(64):
-        counted = written(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").groupBy((F.col("n") > limit).alias("large"), F.when(F.col("n") > limit, F.col("path")).alias("path")).agg(F.sum("n").alias("n")), f"paths-{level}")
+        known = sets.mapInArrow(_expand(runs, splits), _ROWS) if not splits or len(splits[-1]) else None
+        rows = known if more is None else more if known is None else known.unionByName(more)
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        counted = written(sizes.groupBy(F.when(F.col("n") > limit, F.col("path")).alias("path")).agg(F.sum("n").alias("n")), f"paths-{level}")
         total = counted.agg(F.sum("n")).first()[0] or 0
-        big = [r["path"] for r in counted.where(F.col("large") & (F.col("n") > total // share)).select("path").collect()] if total else []
+        big = [r["path"] for r in counted.where(F.col("path").isNotNull() & (F.col("n") > total // share)).select("path").collect()]
         dense = sorted(_dense_paths(rows, big)) if big else []
         split = sorted(set(big) - set(dense))
         rest = _where_path(rows, big, False) if big else rows
         found = written(rest.repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force(limit, least), _FOUND), f"found-{level}")
         pairs.append(found.where(f"kind = {PAIR}").select("a", "b"))
-        again = found.where(f"kind = {SPLIT}").select("path", F.col("a").alias("uid"))
+        kinds = {r["kind"] for r in found.select("kind").distinct().collect()}
         blocks = found.where(f"kind = {DENSE}").select("path", F.col("a").alias("uid"))
-        if split:
-            again = again.unionByName(_where_path(rows, split, True).select("path", "uid"))
         if dense:
             blocks = blocks.unionByName(_where_path(rows, dense, True).select("path", "uid"))
-        if dense or not blocks.isEmpty():
+        if dense or DENSE in kinds:
             pairs.append(written(_in_blocks(blocks, sets, limit, least), f"blocks-{level}").select("a", "b"))
-        if not split and again.isEmpty():
+        again = [found.where(f"kind = {SPLIT}").select("path", F.col("a").alias("uid"))] if SPLIT in kinds else []
+        if more is not None and split:
+            again.append(_where_path(more, split, True).select("path", "uid"))
+        splits.append(np.array(split if known is not None else [], np.int64))
+        more = None
+        if again:
+            wanted = again[0] if len(again) == 1 else again[0].unionByName(again[1])
+            more = written(wanted.join(sets, "uid").select("path", "uid", "tokens", "sketch").mapInArrow(_split, _ROWS), f"more-{level}")
+        if more is None and not len(splits[-1]):
             break
-        again = written(again, f"again-{level}")
-        rows = again.join(sets.select("uid", "tokens", "sketch"), "uid").select("path", "uid", "tokens", "sketch").mapInArrow(_split(runs), _ROWS)
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
