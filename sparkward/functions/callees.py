@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LLM_WORDS = ("openai", "anthropic", "google", "gemini", "genai")
+LLM_WORDS = ("anthropic", "gemini", "genai", "google", "openai")
 LOGGERS = r"console\.(log|info|warn|error)|logger\.(log|info|warn|error|debug)"
 SENSITIVE_NAMES = "email|token|password|apikey|api_key|prompt|messages|completion|response|output"
-SENSITIVE_OBJECTS = ("user", "profile", "metadata", "session", "request", "payload")
+SENSITIVE_OBJECTS = ("metadata", "payload", "profile", "request", "session", "user")
 REQUEST_PARAMS = ("req", "request", "ctx")
 #: rule id, title, what the lower-cased callee contains.
 USAGE_PATTERNS = (

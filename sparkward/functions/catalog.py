@@ -16,7 +16,9 @@ RULES = (
 RULE_IDS = tuple(r for r, _, _ in RULES)
 RULE_ORDER = {r: k for k, r in enumerate(RULE_IDS)}
 
-CATEGORIES = ("Authentication & Access Control", "Data Handling & Privacy", "Prompt & LLM Usage Risks", "Other Security Risks")
+AUTH, DATA = "Authentication & Access Control", "Data Handling & Privacy"
+PROMPT, OTHER = "Prompt & LLM Usage Risks", "Other Security Risks"
+CATEGORIES = (AUTH, DATA, PROMPT, OTHER)  # the order of reports
 
 FIELDS = ("summary", "why_risky", "how_exploited", "how_to_fix", "code_example", "category", "impact", "short_fix", "trigger", "exposure", "effect", "mitigation", "flagged")
 
@@ -56,7 +58,7 @@ CATALOG: dict[str, dict] = {
         "why_risky": "Anyone can then cause model calls, which exposes data and invites abuse.",
         "how_exploited": "A request without credentials reaches the endpoint and starts model work.",
         "how_to_fix": "Authenticate and authorize first, call the model afterwards.",
-        "code_example": "// risky\napp.post('/ask', async (req, res) => { await openai.chat.completions.create(body); });\n// safer\napp.post('/ask', async (req, res) => { await requireAuth(req); await openai.chat.completions.create(body); });",
+        "code_example": "// risky\napp.post('/ask', async (request) => { await openai.chat.completions.create(body); });\n// safer\napp.post('/ask', async (request) => { await requireAuth(request); await openai.chat.completions.create(body); });",
         "category": CATEGORIES[0],
         "impact": "Callers without a login can cause model actions.",
         "short_fix": "Authenticate and authorize before any model call.",

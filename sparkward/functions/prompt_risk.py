@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _SLOT = "(user(input)?|input|message|prompt|query)"
 #: Patterns of each class; ~ stands for a word boundary as ASCII has it.
 USER_INPUT = (rf"\$\{{\s*{_SLOT}\s*\}}", rf"\{{\{{\s*{_SLOT}\s*\}}\}}", r"~(raw|untrusted)\s+user\s+input~", "~append user input~")
-OVERRIDE = ("~(ignore|disregard) (all |any )?(previous|prior|above) instructions?~", "~developer mode~", "~jailbreak~", "~bypass (safety|guardrails?|restrictions?)~")
+OVERRIDE = ("~(ignore|disregard) (any |all )?(above|previous|prior) instructions?~", "~developer mode~", "~jailbreak~", "~bypass (safety|guardrails?|restrictions?)~")
 DANGEROUS = ("~reveal (secrets?|keys?|passwords?)~", "~exfiltrat(e|ion)~", "~disable (safety|policy|guardrails?)~", "~no restrictions?~", "~execute (shell|command|script)~")
 LONG = 600
 

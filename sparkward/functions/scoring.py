@@ -84,4 +84,4 @@ def relative_path(root: Column, path: Column) -> Column:
 
 def valid_package_name(name: Column, scoped: bool = True) -> Column:
     """scoped=False leaves out npm's @scope/name, as a check by plain registry names does."""
-    return name.rlike(r"^(@[a-zA-Z0-9._-]+/)?[a-zA-Z0-9@._-]{1,214}$" if scoped else r"^[a-zA-Z0-9@._-]{1,214}$")
+    return name.rlike(r"^(@[\w.-]+/)?[\w.@-]{1,214}$" if scoped else r"^[\w.@-]{1,214}$")

@@ -18,7 +18,7 @@ KEYWORD = "sparkward-ignore"
 
 def parse_directives(files: DataFrame, keyword: str = KEYWORD) -> DataFrame:
     """repo, file, file_key, rule_id (upper case), reason (not empty), line. Of files with one key the last counts."""
-    pattern = rf"^\s*//\s*{keyword}\s+([A-Za-z0-9_]+)\s*:\s*(.+)\s*$"
+    pattern = rf"^\s*//\s*{keyword}\s+(\w+)\s*:\s*(.+?)\s*$"
     last = files.withColumn("file_key", file_key(F.col("file"))).groupBy("repo", "file_key").agg(F.max_by(F.struct("file", "text"), "file").alias("f"))
     lines = last.select("repo", "file_key", "f.file", F.posexplode(F.split("f.text", r"\r?\n", -1)).alias("n", "t")).where(F.col("t").contains(keyword))
     told = lines.select("repo", "file", "file_key", F.upper(F.regexp_extract("t", pattern, 1)).alias("rule_id"), F.trim(F.regexp_replace(F.regexp_extract("t", pattern, 2), r"\s+$", "")).alias("reason"), (F.col("n") + 1).cast("int").alias("line"))

@@ -72,12 +72,12 @@ _C = f"WITH c AS ({CALLS}) "
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _KEY = "regexp_replace(lower(replace(file, '\\', '/')), '\\.(ts|tsx|js|jsx)$', '')"
 
-# --- prompt risk ---------------------------------------------------------------------------------------------------
+# --- prompt risk
 
 _SLOT = "(user(input)?|input|message|prompt|query)"
 _HITS = {
-    "u": rf"\$\{{\s*{_SLOT}\s*\}}|\{{\{{\s*{_SLOT}\s*\}}\}}|\b(raw|untrusted)\s+user\s+input\b|\bappend user input\b",
-    "o": r"\b(ignore|disregard) (all |any )?(previous|prior|above) instructions?\b|\bdeveloper mode\b|\bjailbreak\b|\bbypass (safety|guardrails?|restrictions?)\b",
+    "u": rf"\b(untrusted|raw)\s+user\s+input\b|\$\{{\s*{_SLOT}\s*\}}|\{{\{{\s*{_SLOT}\s*\}}\}}|\bappend user input\b",
+    "o": r"\b(ignore|disregard) (any |all )?(above|previous|prior) instructions?\b|\bdeveloper mode\b|\bjailbreak\b|\bbypass (safety|guardrails?|restrictions?)\b",
     "d": r"\breveal (secrets?|keys?|passwords?)\b|\bexfiltrat(e|ion)\b|\bdisable (safety|policy|guardrails?)\b|\bno restrictions?\b|\bexecute (shell|command|script)\b",
 }
 
@@ -132,7 +132,7 @@ def sensitive_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", C.is_sensitive_text(F.col("text")).alias("sensitive"))
 
 
-# --- algebra of findings ---------------------------------------------------------------------------------------------
+# --- algebra of findings
 
 
 @query(_F + f"SELECT ord, severity, rule_id FROM f WHERE {_RANK} >= 3")
@@ -199,7 +199,7 @@ def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.top_groups(A.group_by_rule(A.issues(findings_of(spark, sf_dir)), preview=0)).select("rule_id", "severity", "confidence_max")
 
 
-@query(_F + _GROUPS + f", k AS (SELECT *, CASE WHEN rule_id = 'AI003' THEN 'Authentication & Access Control' WHEN rule_id IN ('AI002', 'AI004') THEN 'Data Handling & Privacy' WHEN rule_id = 'AI001' THEN 'Prompt & LLM Usage Risks' ELSE 'Other Security Risks' END AS category FROM g) SELECT category, string_agg(rule_id, ',' ORDER BY {_RANK} DESC, confidence_max DESC, first_place) AS rules, list_position(['Authentication & Access Control', 'Data Handling & Privacy', 'Prompt & LLM Usage Risks', 'Other Security Risks'], category)::BIGINT AS category_order FROM k GROUP BY category")
+@query(_F + _GROUPS + f", k AS (SELECT *, CASE WHEN rule_id = 'AI003' THEN 'Authentication & Access Control' WHEN rule_id IN ('AI002', 'AI004') THEN 'Data Handling & Privacy' WHEN rule_id = 'AI001' THEN 'Prompt & LLM Usage Risks' ELSE 'Other Security Risks' END AS category FROM g) SELECT category, string_agg(rule_id, ',' ORDER BY {_RANK} DESC, confidence_max DESC, first_place) AS rules, CASE category WHEN 'Authentication & Access Control' THEN 1 WHEN 'Data Handling & Privacy' THEN 2 WHEN 'Prompt & LLM Usage Risks' THEN 3 ELSE 4 END::BIGINT AS category_order FROM k GROUP BY category")
 def risk_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.by_category(A.group_by_rule(findings_of(spark, sf_dir), preview=0))
     return c.select("category", F.array_join(F.transform("groups", lambda g: g["rule_id"]), ",").alias("rules"), "category_order")
@@ -251,9 +251,9 @@ def ignore_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.match_first_in_first_out(told.where(~F.col("d")), told.where("d"), ["file_key", "rule_id"]).select("ord", "line", "directive_line")
 
 
-# --- rules on calls ----------------------------------------------------------------------------------------------------
+# --- rules on calls
 
-_LLM = "regexp_matches(lower(callee_text), 'openai|anthropic|google|gemini|genai')"
+_LLM = "regexp_matches(lower(callee_text), 'anthropic|gemini|genai|google|openai')"
 
 
 @query(_C + f", t AS (SELECT *, {_LLM} AS is_llm, contains(lower(callee_text), 'auth') AS is_auth FROM c), w AS (SELECT *, coalesce(max(is_auth::INT) OVER (PARTITION BY fn_pos ORDER BY call_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM t) SELECT fn_pos, call_pos FROM w WHERE NOT is_auth AND is_llm AND seen = 0")
@@ -290,7 +290,7 @@ def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", S.confidence(bit(1), bit(2), bit(4), bit(8)).alias("confidence")).withColumn("label", S.confidence_label(F.col("confidence")))
 
 
-# --- files, manifests, snippets ------------------------------------------------------------------------------------------
+# --- files, manifests, snippets
 
 _WORDS = "lower(split_part(p_name, ' ', 1))"
 _NAMES = "CASE p_partkey % 6 WHEN 0 THEN 'opena1' WHEN 1 THEN 'requets' WHEN 2 THEN 'Numpy' WHEN 3 THEN 'torchh' WHEN 4 THEN 'bad name' ELSE concat('pkg-', CAST(p_partkey AS VARCHAR(20))) END"
@@ -308,7 +308,7 @@ def typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packages(spark, sf_dir).withColumn("resembles", D.look_alike(F.col("name"))).where("resembles IS NOT NULL").select("ord", "name", "resembles")
 
 
-@query(f"WITH c AS (SELECT p_partkey::INT AS ord, {_NAMES} AS name FROM part), r AS (SELECT DISTINCT name FROM c WHERE ord % 5 <> 0) SELECT ord, name FROM c WHERE NOT regexp_full_match(name, '(@[a-zA-Z0-9._-]+/)?[a-zA-Z0-9@._-]{{1,214}}') OR name NOT IN (SELECT name FROM r)")
+@query(f"WITH c AS (SELECT p_partkey::INT AS ord, {_NAMES} AS name FROM part), r AS (SELECT DISTINCT name FROM c WHERE ord % 5 <> 0) SELECT ord, name FROM c WHERE NOT regexp_full_match(name, '(@[A-Za-z0-9_.-]+/)?[A-Za-z0-9_.@-]{{1,214}}') OR name NOT IN (SELECT name FROM r)")
 def missing_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _packages(spark, sf_dir)
     return D.missing_packages(c, c.where("ord % 5 <> 0").select("ecosystem", "name")).select("ord", "name")
@@ -348,7 +348,7 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(S.html_escape(F.col("html")).cast("binary")).alias("escaped_md5"))
 
 
-# --- sources, end to end ---------------------------------------------------------------------------------------------------
+# --- sources, end to end
 
 _SOURCE = """import { client } from "./client";
 // sparkward-ignore AI004: reviewed for %1$s
@@ -358,7 +358,7 @@ export async function %1$s(req, res) {
   console.log("%1$s", { prompt: copy });
   const answer = await openai.chat.completions.create({ prompt: `Hello ${copy}` + "!" });
   await requireAuth(req);
-  return anthropic.messages.create({ messages: [{ role: "user", content: JSON.stringify(user) }] });
+  return anthropic.messages.create({ messages: [{ content: JSON.stringify(user), role: "user" }] });
 }
 """
 

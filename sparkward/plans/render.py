@@ -132,7 +132,7 @@ def to_html(report: Report) -> str:
 
 def to_terminal(report: Report, limit: int = 3) -> str:
     s = report.summary
-    out = ["Code risk report", "================", f"Scanned at    : {report.meta['scannedAt']}", f"Risk posture  : {s['posture']}", f"Total issues  : {s['total']}", f"Severity      : critical {s['critical']}, high {s['high']}, medium {s['medium']}, low {s['low']}"]
+    out = ["Code risk report", "=" * 16, f"Scanned at    : {report.meta['scannedAt']}", f"Risk posture  : {s['posture']}", f"Total issues  : {s['total']}", f"Severity      : critical {s['critical']}, high {s['high']}, medium {s['medium']}, low {s['low']}"]
     out += [f"Ignored       : {len(report.ignored)}"] * bool(report.ignored) + [f"Informational : {len(report.informational)}"] * bool(report.informational) + [""]
     if not s["total"]:
         return "\n".join([*out, "No issues found."])

@@ -151,7 +151,7 @@ class File:
     def line(self, at: int) -> int:
         return bisect_right(self.lines, at)
 
-    # --- structure of one token list -----------------------------------------------------------------------------
+    # --- structure of one token list
 
     def _walk(self, ts: list[Token]) -> None:
         for t in ts:
@@ -409,7 +409,7 @@ class File:
             k += 1
         return True
 
-    # --- nodes -----------------------------------------------------------------------------------------------------
+    # --- nodes
 
     def _node(self, ts: list[Token], a: int, b: int) -> dict:
         text = self.text[ts[a].start : ts[b - 1].end]
@@ -489,7 +489,7 @@ class File:
             for x, y in found:
                 self.nodes.append({"call": call, "detector": detector, **self._node(ts, x, y)})
 
-    # --- declarations ------------------------------------------------------------------------------------------------
+    # --- declarations
 
     def _declarations(self, ts: list[Token], k: int) -> None:
         while k < len(ts):
@@ -520,7 +520,7 @@ class File:
                 continue
             return
 
-    # --- positions ---------------------------------------------------------------------------------------------------
+    # --- positions
 
     def _number(self) -> None:
         everything = [("call", c) for c in self.calls] + [("function", f) for f in self.functions] + [("decl", d) for d in self.decls]

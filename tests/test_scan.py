@@ -22,7 +22,7 @@ RISKY = """export async function ask(req, res) {
   console.log("out", out.completion);
   // sparkward-ignore AI004: cut down upstream
 
-  await anthropic.messages.create({ messages: [{ role: "user", content: JSON.stringify(session) }] });
+  await anthropic.messages.create({ messages: [{ content: JSON.stringify(session), role: "user" }] });
 }
 """
 
