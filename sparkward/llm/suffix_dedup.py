@@ -47,7 +47,7 @@ _FIRST = -(1 << 63)  # where a null doc_id stands
 PART = 1 << 22  # bytes whose anchors are sought at a time
 
 
-# --- bytes ---------------------------------------------------------------------------------------------------------
+# --- bytes
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def merged_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-# --- what travels --------------------------------------------------------------------------------------------------
+# --- what travels
 
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 KEY = np.dtype([("id", "<i8"), ("tag", "<i8")])
@@ -272,7 +272,7 @@ def some(ids: list, texts: list[bytes], size: int) -> Iterator[Texts]:
         yield Texts(ids[a:], texts[a:])
 
 
-# --- step 1 --------------------------------------------------------------------------------------------------------
+# --- step 1
 
 
 def report_anchors(buckets: int, shards: int):
@@ -329,7 +329,7 @@ def count_anchors(shards: int, hot: int):
     return run
 
 
-# --- step 2 --------------------------------------------------------------------------------------------------------
+# --- step 2
 
 
 def unique_texts(table: pa.Table) -> tuple[list, list[bytes]]:
@@ -435,7 +435,7 @@ def sort_shards(buckets: int, shards: int, hot):
     return run
 
 
-# --- step 3 --------------------------------------------------------------------------------------------------------
+# --- step 3
 
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -546,7 +546,7 @@ def settle(data, mark, place, at, covered: list) -> tuple[np.ndarray, np.ndarray
     return mark[first], place[first], at[first]
 
 
-# --- step 4 --------------------------------------------------------------------------------------------------------
+# --- step 4
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 

@@ -16,7 +16,7 @@ def prose(n, lines=True):
     return "".join(rng.choice(WORDS) + (rng.choice("  \n,.") if lines else " ") for _ in range(n))
 
 
-# --- quality -------------------------------------------------------------------------------------------------------
+# --- quality
 
 
 def count_by_hand(text):
@@ -38,7 +38,7 @@ def test_counts(text):
     assert quality_rules.count_text(text)[:5] == count_by_hand(text)
 
 
-# --- secrets ---------------------------------------------------------------------------------------------------------
+# --- secrets
 
 
 def test_secrets():
@@ -56,7 +56,7 @@ def test_masking_overlaps():
     assert secret_scan._masked(text, spans) == "[SECRET] end"
 
 
-# --- licences ----------------------------------------------------------------------------------------------------------
+# --- licences
 
 
 def test_license_base_places():
@@ -78,7 +78,7 @@ def test_license_fuzzy():
     assert license_scan.scan_text(prose(500))["labels"] == ""
 
 
-# --- BPE -------------------------------------------------------------------------------------------------------------------
+# --- BPE
 
 
 @pytest.fixture(scope="module")
@@ -126,7 +126,7 @@ def test_transducer(tmp_path):
     assert len(m.final) < sum(map(len, words))  # suffixes are shared
 
 
-# --- suffix arrays -----------------------------------------------------------------------------------------------------------
+# --- suffix arrays
 
 
 @pytest.mark.parametrize("make", [lambda: rng.randbytes(3000), lambda: bytes(rng.choice(b"ab") for _ in range(2500)), lambda: b"abcd" * 500, lambda: (x := rng.randbytes(400)) + b"q" + x + b"r" + x[50:350], lambda: b"a"])
@@ -172,7 +172,7 @@ def test_settle_keeps_clashing_windows_apart():
     assert sorted(place.tolist()) == [1, 2] and np.concatenate(covered).tolist() == [3]
 
 
-# --- chunks ---------------------------------------------------------------------------------------------------------------------
+# --- chunks
 
 
 def test_chunks_cover_and_follow_content():
@@ -188,7 +188,7 @@ def test_chunks_cover_and_follow_content():
     assert exact_dedup.chunks_of(0, 200_000, np.zeros(0, int))[-1] == (196608, 200000) and exact_dedup.chunks_of(3, 3, np.zeros(0, int)) == []
 
 
-# --- n-grams ----------------------------------------------------------------------------------------------------------------------
+# --- n-grams
 
 
 def test_sets_and_sketches():
@@ -205,7 +205,7 @@ def test_sets_and_sketches():
     assert ngram_join.runs_for(0.995) == 4
 
 
-# --- packing ------------------------------------------------------------------------------------------------------------------------
+# --- packing
 
 
 def test_best_fit_against_a_plain_loop():
@@ -227,7 +227,7 @@ def test_best_fit_against_a_plain_loop():
         assert offset[own].tolist() == (np.cumsum(sizes[own]) - sizes[own]).tolist() and fill[b] == sizes[own].sum()
 
 
-# --- trees -----------------------------------------------------------------------------------------------------------------------------
+# --- trees
 
 
 def test_trees_and_isotonic():
