@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dependencies as D
@@ -65,12 +66,28 @@ def scan(spark: SparkSession, *paths: str, selected: list[str] | None = None, on
 
 
 ORDER = ("rule_ord", "file", "fn_pos", "call_pos", "node_ord")
-SHOWN = 200  # occurrences of a rule that a report lists; their number is told whole
+PLACE = ("file", "line", *ORDER[:1], *ORDER[2:])
+SHOWN = 200  # occurrences of a rule that a report holds; a written one lists all
+
+
+class Streamed:
+    """Rows of any number: how many, and they themselves as they are read, a partition at a time on the driver."""
+
+    def __init__(self, rows: DataFrame, count: int):
+        self.rows, self.count = rows, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[dict]:
+        return (r.asDict(recursive=True) for r in self.rows.toLocalIterator())
 
 
 @dataclass
 class Report:
-    """What a report shows: small by nature (a row per rule), collected once."""
+    """What a report shows: small by nature (a row per rule), collected once. places: all occurrences of all rules, in
+    order once those of a rule are chosen; they stay where they are until a report is written.
+    """
 
     meta: dict
     summary: dict
@@ -81,19 +98,23 @@ class Report:
     ignored: list[dict] = field(default_factory=list)
     mix: list[dict] = field(default_factory=list)
     baseline: dict | None = None
+    places: DataFrame | None = None
+
+    def occurrences(self, group: dict) -> list[dict] | Streamed:
+        """All occurrences of a group, in order."""
+        if len(group["occurrences"]) == group["n_occurrences"]:
+            return group["occurrences"]
+        return Streamed(self.places.where(F.col("rule_id") == group["rule_id"]).orderBy(*PLACE).select("file", "line", "snippet"), group["n_occurrences"])
 
 
 def build_report(result: Scan, version: str = "0.1.0", scanned_at: str | None = None, shown: int = SHOWN) -> Report:
     from ..functions.catalog import with_catalog
 
     findings = result.findings
-    order = ("file", "line", *ORDER[:1], *ORDER[2:])
-    placed = findings.withColumn("place", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).where(F.col("place") <= shown)
-    snipped = with_snippets(placed, result.files)
-    whole = findings.groupBy("rule_id").agg(F.count("*").alias("all_occurrences"))
+    snipped = with_snippets(findings, result.files).persist()
 
     def grouped(rows: DataFrame) -> DataFrame:
-        g = A.group_by_rule(rows, order=order, snippet=True).join(whole, "rule_id").withColumn("n_occurrences", F.col("all_occurrences")).drop("all_occurrences")
+        g = A.group_by_rule(rows, order=PLACE, snippet=True, preview=shown)
         return with_catalog(g).withColumns({"told_short_fix": F.coalesce("told_short_fix", "recommendation"), "range": A.range_text(g)})
 
     groups = grouped(A.issues(snipped)).persist()
@@ -104,5 +125,5 @@ def build_report(result: Scan, version: str = "0.1.0", scanned_at: str | None =
     return Report(
         meta={"tool": "sparkward", "version": version, "scannedAt": scanned_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")},
         summary=rows(told)[0], groups=rows(groups.orderBy("first_place")), top=rows(A.top_groups(groups)), categories=rows(A.by_category(groups)),
-        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=rows(ignored.orderBy("file", "line").limit(10 * shown)), mix=rows(A.risk_mix(summary)), baseline=result.baseline,
+        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=rows(ignored.orderBy("file", "line").limit(10 * shown)), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped,
     )

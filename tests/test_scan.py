@@ -138,6 +138,36 @@ def test_reports(spark, repo, tmp_path):
         write_report(report, "r.txt")
 
 
+def many(spark, repo, n):
+    """A scan whose every finding has n copies in later files, the last one the most certain."""
+    s = scan(spark, repo)
+    copies = lambda df, at, column: df.crossJoin(spark.range(n).withColumnRenamed("id", "__k")).withColumn(column, at).drop("__k")
+    k = F.col("__k")
+    s.findings = copies(s.findings.withColumn("file", F.lit("src/_app.tsx")), F.when(k == 0, F.col("file")).otherwise(F.format_string("src/f%03d.ts", k)), "file")
+    s.findings = s.findings.withColumn("confidence", F.when(F.col("file") == f"src/f{n - 1:03d}.ts", 0.95).otherwise(F.col("confidence")))
+    return s
+
+
+def test_reports_take_all_occurrences(spark, repo, tmp_path):
+    s = many(spark, repo, 7)
+    s.findings = s.findings.where("rule_id != 'AI001' OR file != 'src/f006.ts'")
+    report = build_report(s, scanned_at="now", shown=3)
+    by = {g["rule_id"]: g for g in report.groups}
+    assert {r: (g["n_occurrences"], len(g["occurrences"]), g["confidence_min"], g["confidence_max"]) for r, g in by.items()} == {"AI001": (6, 3, 0.7, 0.7), "AI002": (7, 3, 0.3, 0.95), "AI003": (7, 3, 0.4, 0.95)}
+    assert [g["rule_id"] for g in report.top] == ["AI003", "AI002", "AI001"] and by["AI002"]["range"] == by["AI003"]["range"].replace("0.40", "0.30")
+    for name in ("r.json", "r.md", "r.html"):
+        write_report(report, str(tmp_path / name))
+    files = ["src/_app.tsx", *(f"src/f{k:03d}.ts" for k in range(1, 7))]
+    told = json.loads((tmp_path / "r.json").read_text())
+    for part in ("prioritizedFindings", "allFindings", "informational"):
+        assert all([o["file"] for o in g["occurrences"]] == files[: g["n_occurrences"]] for g in told[part]) and told[part]
+    assert json.dumps(told, indent=2) == (tmp_path / "r.json").read_text() == to_json(report)
+    md, html = (tmp_path / "r.md").read_text(), (tmp_path / "r.html").read_text()
+    assert md == to_markdown(report) and html == to_html(report)
+    for line in (3, 5):
+        assert f"- src/f005.ts:{line}" in md and f"<li>src/f005.ts:{line}</li>" in html and f"- src/f006.ts:{line}" in md
+
+
 def test_command_line(spark, repo, tmp_path, capsys):
     state = str(tmp_path / "s/state.json")
     assert main(["scan", repo, "--output", str(tmp_path / "o.html"), "--debug"], state=state) == 0
