@@ -86,7 +86,7 @@ class Streamed:
 @dataclass
 class Report:
     """What a report shows: small by nature (a row per rule), collected once. places: all occurrences of all rules, in
-    order once those of a rule are chosen; they stay where they are until a report is written.
+    order once those of a rule are chosen; they and the ignored rows stay where they are until a report is written.
     """
 
     meta: dict
@@ -95,7 +95,7 @@ class Report:
     top: list[dict] = field(default_factory=list)
     categories: list[dict] = field(default_factory=list)
     informational: list[dict] = field(default_factory=list)
-    ignored: list[dict] = field(default_factory=list)
+    ignored: list[dict] | Streamed = field(default_factory=list)
     mix: list[dict] = field(default_factory=list)
     baseline: dict | None = None
     places: DataFrame | None = None
@@ -125,5 +125,5 @@ def build_report(result: Scan, version: str = "0.1.0", scanned_at: str | None =
     return Report(
         meta={"tool": "sparkward", "version": version, "scannedAt": scanned_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")},
         summary=rows(told)[0], groups=rows(groups.orderBy("first_place")), top=rows(A.top_groups(groups)), categories=rows(A.by_category(groups)),
-        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=rows(ignored.orderBy("file", "line").limit(10 * shown)), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped,
+        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=Streamed(ignored.orderBy("file", "line", "rule_id", "annotation_line"), result.ignored.count()), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped,
     )

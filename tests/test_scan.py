@@ -168,6 +168,16 @@ def test_reports_take_all_occurrences(spark, repo, tmp_path):
         assert f"- src/f005.ts:{line}" in md and f"<li>src/f005.ts:{line}</li>" in html and f"- src/f006.ts:{line}" in md
 
 
+def test_reports_take_all_ignored(spark, repo, tmp_path):
+    s = scan(spark, repo, selected=["AI004"])
+    s.ignored = s.ignored.crossJoin(spark.range(25)).withColumn("annotation_line", F.col("id").cast("int")).drop("id")
+    report = build_report(s, scanned_at="now", shown=2)
+    write_report(report, str(tmp_path / "r.json"))
+    assert [x["annotation_line"] for x in json.loads((tmp_path / "r.json").read_text())["ignoredFindings"]] == [*range(25)]
+    assert len(report.ignored) == 25 and "Ignored       : 25" in to_terminal(report)
+    assert to_markdown(report).count("(directive in line ") == to_html(report).count("(directive in line ") == 25
+
+
 def test_command_line(spark, repo, tmp_path, capsys):
     state = str(tmp_path / "s/state.json")
     assert main(["scan", repo, "--output", str(tmp_path / "o.html"), "--debug"], state=state) == 0
