@@ -56,7 +56,7 @@ class Notice:
         self.pattern = regex.compile("(?b)" + "".join(f"(?:{regex.escape(t)}){{e<={k}}}" for t, k in parts))
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of all verified places, leftmost, without overlaps."""
+        """(start, end, edits) of all verified places, without overlaps: the best of a stretch, then those before and after it."""
         starts = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
@@ -74,11 +74,14 @@ class Notice:
                 stretches[-1][1] = b
             else:
                 stretches.append([a, b])
-        for a, b in stretches:
-            for m in self.pattern.finditer(text[a:b]):
+        least = len(self.text) - self.edits  # nothing shorter matches
+        while stretches:
+            a, b = stretches.pop()
+            if min(b, len(text)) - a >= least and (m := self.pattern.search(text[a:b])):
                 s, e = a + m.start(), a + m.end()
                 found.append((s, e, sum(m.fuzzy_counts)))
-        return found
+                stretches += [a, s], [e, b]
+        return sorted(found)
 
 
 _COMPILED = [Notice(label, parts) for label, parts in NOTICES]

@@ -78,6 +78,16 @@ def test_license_fuzzy():
     assert license_scan.scan_text(prose(500))["labels"] == ""
 
 
+def test_license_places_before_a_better_one():
+    mit = license_scan.Notice(*license_scan.NOTICES[0])
+    assert mit.search("foo relased undr the mit license and released under the mit license bar") == [(4, 32, 2), (37, 67, 0)]
+    texts = ["released under the mit license", "relased under the mit license", "relased undr the mit license", "released undr the mit lisence"]
+    for k in range(4):
+        chosen = texts[k:] + texts[:k]
+        joined = " and ".join(chosen)
+        assert [joined[a:b] for a, b, _ in mit.search(joined)] == chosen
+
+
 # --- BPE
 
 
