@@ -10,8 +10,8 @@ merging gives.
 Words of a batch are told apart first; each distinct word is walked or merged once, and the ids of all texts are then
 gathered by index. Two passes over the texts, no shuffle of texts.
 
-Counting is lossy counting: of its words each task reports those that make up more than one in SHARE, so what is sent
-is bounded for each task, and no word that makes up more than that of the whole corpus can be missed.
+Words are counted wholly: a task hands its counts on whenever it holds PARTIAL_WORDS different words, and they are added up
+by word, so the lexicon doesn't depend on how rows are dealt to tasks.
 
 Defined results: a null text counts as empty and has no ids. Null and repeated doc_ids each give a row. An empty table
 gives an empty table. Columns other than doc_id and text aren't read. Texts are encoded whole, whatever their length.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import ids_and_text, new_table_path
 
 LEXICON_WORDS = 1 << 15
-SHARE = 50_000
+PARTIAL_WORDS = 200_000  # different words that a task counts before it hands the counts on
 NO_RANK = 1 << 40
 MEMO_WORDS = 200_000  # words merged by one worker that it remembers; the memo starts anew when full
 
@@ -384,17 +384,22 @@ def load(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def frequent_words(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of the whole table, at most that many; what reaches the driver is bounded by it."""
+def frequent_words(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, at_once: int = PARTIAL_WORDS) -> list[str]:
+    """The most frequent words of the whole table under 100 characters, at most that many; what reaches the driver is bounded by it."""
+
+    def told(counts: Counter) -> pa.RecordBatch:
+        short = [(w, n) for w, n in counts.items() if len(w) < 100]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = load(vocabulary_path).split, Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 counts.update(split(text))
-        least = sum(counts.values()) / SHARE
-        often = [(w, n) for w, n in counts.items() if n > least and len(w) < 100]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+                if len(counts) >= at_once:
+                    yield told(counts)
+                    counts.clear()
+        yield told(counts)
 
     counted = ids_and_text(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]

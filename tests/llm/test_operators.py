@@ -259,6 +259,18 @@ def test_bpe(docs, nothing):
     assert bpe_round_trip(nothing, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_lexicon_counts_are_whole(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from sparkward.llm import bpe
+
+    rows = [(k, " rare" + " often" * 60_000) for k in range(3)] + [(3, " scarce" * 2 + " often")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        for at_once in (1, 200_000):
+            assert bpe.frequent_words(d.repartition(parts), P.path("byte_bpe_50k.json"), at_once=at_once) == [" often", " rare", " scarce"]
+    assert bpe.frequent_words(d, P.path("byte_bpe_50k.json"), words=2) == [" often", " rare"]
+
+
 def test_packing(docs, nothing):
     got = packing.pack_documents(docs, capacity=3000, per_source=3, shard_items=20).collect()
     bins, pieces = {}, Counter()
