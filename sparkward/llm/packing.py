@@ -111,19 +111,23 @@ def _pack_group(capacity: int, per_source: int):
     return run
 
 
-def items_of(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The items: a text of n bytes gives n // capacity full pieces and a rest; made in the JVM."""
+def items_of(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
+    """The items: a text of n bytes gives n // capacity full pieces and a rest; made in the JVM. cluster: as pack_documents has it."""
     text = text_of(docs)
-    one = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("\0"))).alias("source_hash"), F.xxhash64(F.lower(text)).alias("cluster"))
+    group = F.xxhash64(F.lower(text))
+    if cluster is not None:
+        group = F.when(docs[cluster].isNull(), group).otherwise(F.xxhash64(F.lit("class"), docs[cluster].cast("string")))
+    one = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("\0"))).alias("source_hash"), group.alias("cluster"))
     pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))).alias("piece")
     start = (F.col("piece") * capacity).cast("long")
     return one.select("doc_id", pieces, "n", "source_hash", "cluster").select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).cast("long").alias("size"), "source_hash", "cluster")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS, cluster: str | None = None) -> DataFrame:
     """One row per piece: bin_id, slot (order in the bin), offset (bytes before it), doc_id, piece, start, size (in bytes of
-    the text), bin_fill."""
-    items = written(items_of(docs, capacity), "items")
+    the text), bin_fill. cluster: a column of docs that tells their duplicate clusters, such as the n-gram join's class_id;
+    without one, or where it is null, texts that are equal but for case are a cluster."""
+    items = written(items_of(docs, capacity, cluster), "items")
     full = items.where(F.col("size") >= capacity)  # these fill a bin by themselves
     rest = items.where(F.col("size") < capacity)
     shards = max(1, -(-rest.count() // shard_items))

@@ -294,6 +294,16 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_takes_clusters_of_near_copies(docs):
+    near = docs.withColumn("class_id", F.when(F.col("doc_id").between(200, 207), 200).when(F.col("doc_id") < 10, F.col("doc_id") % 2))
+    bins = lambda **kw: [r["bin_id"] for r in packing.pack_documents(near, 30_000, 60, **kw).where("doc_id BETWEEN 200 AND 207").collect()]
+    assert len(set(bins())) < 8 and len(set(bins(cluster="class_id"))) == 8
+    got = packing.pack_documents(near, 30_000, 60, cluster="class_id")
+    assert got.where("doc_id BETWEEN 100 AND 111").select("bin_id").distinct().count() == 12  # without a class, equal texts
+    for k in (0, 1):
+        assert got.where(f"doc_id < 10 AND doc_id % 2 = {k}").select("bin_id").distinct().count() == 5
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "<|end|> \\ <|turn|>"), (1, 2, "assistant", "ok </s>"), (2, 0, "system", "s"), (2, 1, "user", "<|end|> \\ <|turn|>"), (2, 2, "assistant", None), (3, 0, None, "x" * 5000), (None, 0, "user", ""), (None, 0, "user", ""), (4, None, "assistant", "é😀"), (4, 1, "assistant", "[INST]"), (5, 0, "system", "s")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).repartition(4)
