@@ -1,15 +1,19 @@
 """Quality rules with adaptive thresholds.
 
 Fixed cutoffs give way to fences learned per language and source. Each text's ratios (word length, symbols, repeated
-lines, repeated words, stutter) go into logarithmic quantile sketches: bucket k of a sketch counts the values in
-(g^(k-1), g^k], so any quantile is known to a relative error of (g-1)/(g+1), two sketches merge by adding counts, and
-the outcome doesn't depend on the order of rows. The sketches are one ordinary aggregation, partial on the map side,
-which holds up when one source has a third of all rows. Quartiles of each (language, source) give its fences; a group
-with few texts uses its language's sketch, and that a sketch of everything. A second pass joins the fences to the
-texts and filters.
-
-A text is rejected if base_failed, or if any ratio lies beyond its fence: far above the upper quartile, by a multiple
-of the spread, and above a floor under which no text is suspect. So whole groups of clean text lose nothing.
+lines, repeated words, stutter) and sizes go into logarithmic quantile sketches: bucket k of a sketch counts the values
+in (g^(k-1), g^k], so any quantile is known to a relative error of (g-1)/(g+1), two sketches merge by adding counts,
+and the outcome doesn't depend on the order of rows. The sketches are one ordinary aggregation, partial on the map
+side, which holds up when one source has a third of all rows. A second pass joins the fences to the texts and filters.
+
+A group's fence comes from its own sketches alone: the median, a spread, and the median size of its texts. The spread is
+twice the distance from the lower quartile to the median, which junk in the upper half cannot move, but at least the
+width of a bucket there and the share of one symbol (line, word) in a text of median size, as no ratio is known more
+finely. These three are drawn to the language's, and the language's to those of all texts, by weights n and PRIOR, so
+that small groups lean on large ones without any switch; where a group is mostly junk, LOOSE spreads of its parent bound
+its median and LOOSE times its parent's spread its own. A text of size n is rejected if base_failed, or if a ratio lies
+more than SPREADS * spread * sqrt(1 + median size / n) above the median (word length: or below), since a short text's
+ratios scatter more. No ratio has a fixed cutoff.
 
 Defined results: a null text has no words; it fails the base rule. Null languages and sources are groups like any
 other. Repeated rows each get a row. Texts of any length are taken whole. An empty table gives an empty table.
@@ -32,10 +36,13 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 GAMMA = 1.04  # quantiles to 2 %
 SCALE = 1000  # ratios are kept in thousandths
-LEAST_TEXTS = 200  # a smaller group takes the sketch of the next larger one
-SPREADS = 8.0  # a fence lies this many interquartile ranges (at least a tenth of the median) above the upper quartile
-#: Ratios, in thousandths, with the floor under which a text is never suspect.
-FLOORS = {"word_length": 16_000, "symbols": 60, "repeated_lines": 400, "repeated_words": 200, "stutter": 300}
+SPREADS = 8.0  # a fence lies this many spreads from the median
+PRIOR = 200.0  # the parent group weighs as much as this many texts
+LOOSE = 4.0  # a group's median and spread exceed its parent's by at most this many spreads, or times
+#: Ratios, in thousandths, and the size of a text that tells how finely its ratio can be known. A repeated line repeats
+#: all its words, so repeated words are counted by lines.
+SIZE_OF = {"word_length": "n_words", "symbols": "word_chars", "repeated_lines": "n_lines", "repeated_words": "n_lines", "stutter": "n_words"}
+SIZES = ("n_words", "word_chars", "n_lines")
 #: Groups of thresholds are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_ROWS = 20_000
 SALTS = 16
@@ -102,7 +109,9 @@ def base_failed() -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """The mergeable sketches: lang, source, metric, bucket, n. Texts that fail the base rule don't shape the fences."""
-    values = F.array(*[F.struct(F.lit(k).alias("metric"), F.when(v <= 0, F.lit(-1)).otherwise(F.ceil(F.log(v.cast("double")) / F.log(F.lit(GAMMA)))).cast("int").alias("bucket")) for k, v in ratios().items()])
+    told = ratios() | {k: F.col(f"__{k}") for k in SIZES}
+    bucket = lambda v: F.when(v <= 0, F.lit(-1)).otherwise(F.ceil(F.log(v.cast("double")) / F.log(F.lit(GAMMA)))).cast("int")
+    values = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in told.items()])
     one = counted.where(~base_failed()).select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.explode(values).alias("v"))
     return one.groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count("*").alias("n"))
 
@@ -118,19 +127,46 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "metric").agg(F.max("all").alias("n"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
 
 
+STATS = ("median", "spread", "size")
+
+
+def _stats(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """by..., n, and for each ratio its median, spread and median size, in one row per group."""
+    q = quartiles(sketch, by)
+    of = lambda metric, column: F.max(F.when(F.col("metric") == metric, F.col(column)))
+    wide = q.groupBy(*by).agg(F.max("n").alias("n"), *[of(k, c).alias(f"{c}_{k}") for k in (*SIZE_OF, *SIZES) for c in ("q1", "q2")])
+    columns = []
+    for k, size in SIZE_OF.items():
+        q1, q2, n = F.col(f"q1_{k}"), F.col(f"q2_{k}"), F.greatest(F.col(f"q2_{size}"), F.lit(1.0))
+        finest = F.lit(0.0) if k == "word_length" else SCALE / n
+        columns += [q2.alias(f"median_{k}"), F.greatest(2 * (q2 - q1), (GAMMA - 1) * q2, finest).alias(f"spread_{k}"), n.alias(f"size_{k}")]
+    return wide.select(*by, "n", *columns)
+
+
+def _leaning(own: DataFrame, parent: DataFrame, same: Column, by: list[str]) -> DataFrame:
+    """own with its numbers drawn to its parent's, by n and PRIOR, and bounded by them."""
+    names = [f"{s}_{k}" for k in SIZE_OF for s in STATS]
+    joined = own.join(parent.select(F.col("key").alias("parent"), *[F.col(c).alias(f"of_{c}") for c in names]), same)
+    out = []
+    for k in SIZE_OF:
+        median, spread, size = ((F.col("n") * F.col(f"{s}_{k}") + PRIOR * F.col(f"of_{s}_{k}")) / (F.col("n") + PRIOR) for s in STATS)
+        above = F.col(f"of_spread_{k}") * LOOSE
+        out += [F.least(median, F.col(f"of_median_{k}") + above).alias(f"median_{k}"), F.least(spread, above).alias(f"spread_{k}"), size.alias(f"size_{k}")]
+    return joined.select(*by, "n", *out)
+
+
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source and one fence for each ratio."""
-    def fenced(by: list[str], name: str) -> DataFrame:
-        q = quartiles(sketch, by)
-        floor = F.element_at(F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("metric"))
-        fence = F.greatest(floor, F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), F.col("q2") / 10))
-        return q.select(*by, "metric", F.when(F.col("n") >= (LEAST_TEXTS if by else 0), fence).alias(name))
+    """lang, source, and what makes the fence of each ratio: median, spread and size, as __median_symbols and so on."""
+    every = _stats(sketch, []).withColumn("key", F.lit("all"))
+    lang = _leaning(_stats(sketch, ["lang"]), every, F.col("parent") == "all", ["lang"]).withColumn("key", F.col("lang"))
+    own = _leaning(_stats(sketch, ["lang", "source"]), lang, F.col("lang").eqNullSafe(F.col("parent")), ["lang", "source"])
+    return own.select("lang", "source", *[F.col(f"{s}_{k}").alias(f"__{s}_{k}") for k in SIZE_OF for s in STATS])
+
 
-    own, lang, every = fenced(["lang", "source"], "own"), fenced(["lang"], "by_lang"), fenced([], "by_all")
-    lang = lang.withColumnRenamed("lang", "l").withColumnRenamed("metric", "m")
-    every = every.withColumnRenamed("metric", "m2")
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m")), "left").join(every, F.col("metric") == F.col("m2"), "left")
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.coalesce("own", "by_lang", "by_all"))).alias(f"__fence_{k}") for k in FLOORS])
+def reach(metric: str) -> Column:
+    """How far from the median a text's ratio may lie: wider for texts smaller than the group's."""
+    size = F.greatest(F.col(f"__{SIZE_OF[metric]}"), F.lit(1))
+    return SPREADS * F.col(f"__spread_{metric}") * F.sqrt(1.0 + F.col(f"__size_{metric}") / size)
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -145,7 +181,8 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
         joined = salted.join(limits, same & (F.col("__of") == F.col("__salt")), "left")
     beyond = F.lit(False)
     for k, v in ratios().items():
-        beyond = beyond | F.coalesce(v > F.col(f"__fence_{k}"), F.lit(False))
+        beyond = beyond | F.coalesce(v > F.col(f"__median_{k}") + reach(k), F.lit(False))
+    beyond = beyond | F.coalesce(ratios()["word_length"] < F.col("__median_word_length") - reach("word_length"), F.lit(False))
     return joined.withColumn("__base_failed", base_failed()).withColumn("__kept", ~F.col("__base_failed") & ~beyond)
 
 

@@ -82,11 +82,17 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 _ESCAPED = """length({0}) + len(regexp_extract_all({0}, '\\\\|<\\||</?s>|\\[/?INST\\]'))"""
 
-#: Fences of the quality rules, as quality_rules.py has them: counts, then sketches by bucket, then quartiles.
-_QUARTILES = """SELECT {by}, metric, max(total) AS n, min(CASE WHEN upto >= ceil(total * 0.25) THEN value END) AS q1, min(CASE WHEN upto >= ceil(total * 0.5) THEN value END) AS q2, min(CASE WHEN upto >= ceil(total * 0.75) THEN value END) AS q3
+#: Fences of the quality rules, as quality_rules.py defines them: counts, sketches by bucket, quartiles, then each group's
+#: median, spread and size, drawn to its parent's and bounded by it.
+_QUARTILES = """SELECT {by}, metric, max(total) AS n, min(CASE WHEN upto >= ceil(total * 0.25) THEN value END) AS q1, min(CASE WHEN upto >= ceil(total * 0.5) THEN value END) AS q2
     FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}, metric) AS total, CASE WHEN bucket < 0 THEN 0.0 ELSE 2 * pow(1.04::DOUBLE, bucket) / 2.04 END AS value
           FROM (SELECT {by}, metric, bucket, sum(n) AS n FROM sketch GROUP BY {by}, metric, bucket)) GROUP BY {by}, metric"""
-_FENCE = "greatest(CASE metric WHEN 'word_length' THEN 16000 WHEN 'symbols' THEN 60 WHEN 'repeated_lines' THEN 400 WHEN 'repeated_words' THEN 200 ELSE 300 END::DOUBLE, q3 + 8.0 * greatest(q3 - q1, q2 / 10))"
+_STATS = f"""SELECT a.*, a.q2 AS median, greatest(b.q2, 1::DOUBLE) AS size,
+           greatest(2 * (a.q2 - a.q1), (1.04::DOUBLE - 1) * a.q2, CASE WHEN metric = 'word_length' THEN 0::DOUBLE ELSE 1000 / greatest(b.q2, 1::DOUBLE) END) AS spread
+    FROM ({_QUARTILES}) a JOIN kinds USING (metric) JOIN ({_QUARTILES.replace("metric,", "metric AS of_size,", 1)}) b USING ({{by}}, of_size)"""
+_LEANING = """least((o.n * o.median + 200::DOUBLE * p.median) / (o.n + 200::DOUBLE), p.median + p.spread * 4::DOUBLE) AS median,
+           least((o.n * o.spread + 200::DOUBLE * p.spread) / (o.n + 200::DOUBLE), p.spread * 4::DOUBLE) AS spread, (o.n * o.size + 200::DOUBLE * p.size) / (o.n + 200::DOUBLE) AS size"""
+_REACH = "8::DOUBLE * spread * sqrt(1::DOUBLE + size / greatest(own_size, 1))"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_suffix_dedup": """
@@ -109,13 +115,15 @@ ORACLE_SQL: dict[str, str] = {
                      len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter
               FROM x LEFT JOIN rep USING (doc_id)),
         f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-        v AS (SELECT doc_id, lang, source, base_failed, unnest(['word_length', 'symbols', 'repeated_lines', 'repeated_words', 'stutter']) AS metric,
-                     unnest([word_chars * 1000 // greatest(n_words, 1), n_symbols * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1), n_stutter * 1000 // greatest(n_words, 1)]) AS value FROM f),
+        kinds(metric, of_size) AS (VALUES ('word_length', 'n_words'), ('symbols', 'word_chars'), ('repeated_lines', 'n_lines'), ('repeated_words', 'n_lines'), ('stutter', 'n_words')),
+        v AS (SELECT doc_id, lang, source, base_failed, unnest(['word_length', 'symbols', 'repeated_lines', 'repeated_words', 'stutter', 'n_words', 'word_chars', 'n_lines']) AS metric,
+                     unnest([n_words, word_chars, n_lines, n_lines, n_words, 0, 0, 0]) AS own_size,
+                     unnest([word_chars * 1000 // greatest(n_words, 1), n_symbols * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1), n_stutter * 1000 // greatest(n_words, 1), n_words, word_chars, n_lines]) AS value FROM f),
         sketch AS (SELECT lang, source, 1 AS one, metric, CASE WHEN value <= 0 THEN -1 ELSE ceil(ln(value::DOUBLE) / ln(1.04::DOUBLE))::INT END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-        own AS (SELECT *, CASE WHEN n >= 200 THEN {_FENCE} END AS fence FROM ({_QUARTILES.format(by="lang, source")})), bylang AS (SELECT *, CASE WHEN n >= 200 THEN {_FENCE} END AS fence FROM ({_QUARTILES.format(by="lang")})),
-        every AS (SELECT *, {_FENCE} AS fence FROM ({_QUARTILES.format(by="one")})),
-        fences AS (SELECT own.lang, own.source, own.metric, coalesce(own.fence, bylang.fence, every.fence) AS fence FROM own LEFT JOIN bylang USING (lang, metric) LEFT JOIN every USING (metric)),
-        beyond AS (SELECT v.doc_id, bool_or(v.value > fence) AS beyond FROM v JOIN fences USING (lang, source, metric) GROUP BY v.doc_id)
+        every AS ({_STATS.format(by="one")}),
+        bylang AS (SELECT o.lang, o.metric, {_LEANING} FROM ({_STATS.format(by="lang")}) o JOIN every p USING (metric)),
+        fences AS (SELECT o.lang, o.source, o.metric, {_LEANING} FROM ({_STATS.format(by="lang, source")}) o JOIN bylang p USING (lang, metric)),
+        beyond AS (SELECT v.doc_id, bool_or(value > median + {_REACH} OR metric = 'word_length' AND value < median - {_REACH}) AS beyond FROM v JOIN fences USING (lang, source, metric) GROUP BY v.doc_id)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM f LEFT JOIN beyond USING (doc_id)""",
     "op6_chat_format": f"""
         WITH c AS (

@@ -362,3 +362,80 @@ def test_pipeline(spark, docs, nothing, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, str(tmp_path))
     assert now.count() == 0
+
+
+def fences_by_hand(rows):
+    """Kept or not of (text, lang, source), from exact arithmetic on the sketches' buckets."""
+    import math
+
+    counts = [dict(zip(quality_rules.COUNTS, quality_rules.count_text(t or ""))) for t, _, _ in rows]
+    tops = {"word_length": "word_chars", "symbols": "n_symbols", "repeated_lines": "n_dup_lines", "repeated_words": "n_repeat_words", "stutter": "n_stutter"}
+    bottoms = {"word_length": "n_words", "symbols": "word_chars", "repeated_lines": "n_lines", "repeated_words": "n_words", "stutter": "n_words"}
+    sizes = {"word_length": "n_words", "symbols": "word_chars", "repeated_lines": "n_lines", "repeated_words": "n_lines", "stutter": "n_words"}
+    ratio = [{k: c[tops[k]] * 1000 // max(c[bottoms[k]], 1) for k in tops} for c in counts]
+    failed = [c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"] for c in counts]
+    passed = [i for i, f in enumerate(failed) if not f]
+
+    def quantile(values, p):
+        x = sorted(values)[math.ceil(len(values) * p) - 1]
+        return 0.0 if x <= 0 else 2 * 1.04 ** math.ceil(math.log(x) / math.log(1.04)) / 2.04
+
+    def stats(members):
+        out = {"n": len(members)}
+        for k in tops:
+            q1, q2, size = quantile([ratio[i][k] for i in members], 0.25), quantile([ratio[i][k] for i in members], 0.5), max(quantile([counts[i][sizes[k]] for i in members], 0.5), 1)
+            out[k] = q2, max(2 * (q2 - q1), 0.04 * q2, 0 if k == "word_length" else 1000 / size), size
+        return out
+
+    def lean(own, parent):
+        out, n = {"n": own["n"]}, own["n"]
+        for k in tops:
+            m, s, z = ((n * a + 200 * b) / (n + 200) for a, b in zip(own[k], parent[k]))
+            out[k] = min(m, parent[k][0] + 4 * parent[k][1]), min(s, 4 * parent[k][1]), z
+        return out
+
+    every = stats(passed)
+    lang = {x: lean(stats([i for i in passed if rows[i][1] == x]), every) for x in {rows[i][1] for i in passed}}
+    own = {x: lean(stats([i for i in passed if rows[i][1:] == x]), lang[x[0]]) for x in {rows[i][1:] for i in passed}}
+    kept = []
+    for i, (_, *of) in enumerate(rows):
+        ok = not failed[i]
+        for k in tops if ok else ():
+            m, s, z = own[tuple(of)][k]
+            far = 8 * s * math.sqrt(1 + z / max(counts[i][sizes[k]], 1))
+            ok &= ratio[i][k] <= m + far and not (k == "word_length" and ratio[i][k] < m - far)
+        kept.append(bool(ok))
+    return kept
+
+
+def mixed_sources():
+    r = random.Random(8)
+    long = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(14, 24))) for _ in range(200)]
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(text(WORDS, r.randint(30, 200)), "en", "prose") for _ in range(400)] + [(text(long, r.randint(30, 200)), "en", "terms") for _ in range(400)]
+    rows += [(text(WORDS, 60), "de", None) for _ in range(30)] + [(text(WORDS, 60) + " $#%" * r.randint(20, 60), "de", None) for _ in range(12)] + [(text(WORDS, 20), None, f"s{k}") for k in range(20)]
+    same = text(long, 400)
+    rows += [(same, "en", "prose"), (same, "en", "terms"), ("a b " + " ".join("abcdefghijklmnopqrstuvwxyz" * 12), "en", "prose"), (None, "en", "prose"), ("no more", "xx", "alone")]
+    return rows
+
+
+def test_fences_by_hand_and_adaptive(spark, monkeypatch):
+    rows = mixed_sources()
+    expected = fences_by_hand(rows)
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA).repartition(6)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(d).collect()}
+    assert [got[i] for i in range(len(rows))] == expected
+    # the same text: out of place in one source, ordinary in the other; words of single letters lie below the fence
+    assert expected[-5:-2] == [False, True, False] and all(expected[:400]) and sum(expected[400:800]) > 395 and not any(expected[830:842])
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)  # the salted join gives the same rows
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(d).collect()} == got
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.8])
+def test_junk_does_not_loosen_a_fence(spark, share):
+    r = random.Random(9)
+    clean = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(30, 150)))
+    rows = [(i, clean(), "en", f"s{i % 4}") for i in range(800)]
+    rows += [(1000 + i, clean() + " | $ #" * 30 if i < 200 * share else clean(), "en", "bad") for i in range(200)]
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(ok == (not 1000 <= i < 1000 + 200 * share) for i, ok in got.items())
