@@ -1,9 +1,10 @@
 """License scans: fuzzy search for short notices.
 
 A notice that may have k edits is split into k+1 seeds; however the edits fall, one seed stays intact (pigeonhole), so
-exact search for the seeds finds every candidate. The regex library's bounded-error matching then verifies the stretch
-around each candidate, part by part (the part that names the license may have fewer edits than the words around it),
-and gives the span and its edits. Texts are compared as words: lower-cased A-Z, runs of letters, digits and non-ASCII
+exact search for the seeds finds every candidate. The regex library's bounded-error matching then verifies a window
+around a few neighbouring candidates, part by part (the part that names the license may have fewer edits than the words
+around it), and gives the span and its edits. Windows are of bounded length, so a text takes time linear in its length,
+however often it repeats a notice. Texts are compared as words: lower-cased A-Z, runs of letters, digits and non-ASCII
 characters, joined by single spaces. One pass over the texts, no shuffle.
 
 Exact phrases (BASE) are found beside this, at all places.
@@ -15,7 +16,7 @@ An empty table gives an empty table. Columns other than doc_id and text aren't r
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -56,7 +57,7 @@ class Notice:
         self.pattern = regex.compile("(?b)" + "".join(f"(?:{regex.escape(t)}){{e<={k}}}" for t, k in parts))
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of all verified places, without overlaps: the best of a stretch, then those before and after it."""
+        """(start, end, edits) of all verified places, without overlaps: of places that overlap, that of fewest edits, then the leftmost."""
         starts = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
@@ -65,23 +66,50 @@ class Notice:
                 at = text.find(seed, at + 1)
         if not starts:
             return []
-        # candidates whose stretches meet are verified as one, so that no place is searched twice
-        reach, found = self.edits, []
-        stretches: list[list[int]] = []
-        for s in sorted(starts):
-            a, b = max(0, s - reach), s + len(self.text) + 2 * reach
-            if stretches and a <= stretches[-1][1]:
-                stretches[-1][1] = b
-            else:
-                stretches.append([a, b])
+        # candidates near the first of a window share it, so that a place is seldom searched twice
+        reach, found = self.edits, set()
+        first = last = None
+        for s in [*sorted(starts), None]:
+            if first is not None and (s is None or s - first > len(self.text)):
+                found.update(self._within(text, max(0, first - reach), last + len(self.text) + 2 * reach))
+                first = None
+            first, last = s if first is None else first, s
+        held = Held()
+        return sorted(x for x in sorted(found, key=lambda x: (x[2], x)) if held.free(x[0], x[1]) and held.add(x[0], x[1], None))
+
+    def _within(self, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """The best place of a window, then those before and after it."""
+        stretches = [(a, min(b, len(text)))]
         least = len(self.text) - self.edits  # nothing shorter matches
         while stretches:
             a, b = stretches.pop()
-            if min(b, len(text)) - a >= least and (m := self.pattern.search(text[a:b])):
+            if b - a >= least and (m := self.pattern.search(text[a:b])):
                 s, e = a + m.start(), a + m.end()
-                found.append((s, e, sum(m.fuzzy_counts)))
-                stretches += [a, s], [e, b]
-        return sorted(found)
+                yield s, e, sum(m.fuzzy_counts)
+                stretches += (a, s), (e, b)
+
+
+class Held:
+    """Spans by their start, none longer than the longest notice with its edits."""
+
+    LONGEST = max(sum(len(t) + k for t, k in parts) for _, parts in NOTICES)
+
+    def __init__(self):
+        self.spans: list[tuple[int, int, str | None]] = []
+
+    def free(self, a: int, b: int, label: str | None = None) -> bool:
+        """Whether no span of another label meets a:b."""
+        for k in range(bisect_left(self.spans, (a - self.LONGEST,)), len(self.spans)):
+            x, y, other = self.spans[k]
+            if x >= b:
+                return True
+            if y > a and (label is None or other != label):
+                return False
+        return True
+
+    def add(self, a: int, b: int, label: str | None) -> bool:
+        insort(self.spans, (a, b, label))
+        return True
 
 
 _COMPILED = [Notice(label, parts) for label, parts in NOTICES]
@@ -95,10 +123,17 @@ def scan_text(text: str) -> dict:
     joined = " ".join(words)
     padded = f" {joined} "
     places, base = [], set()
+    starts: list[int] = []  # of words in joined
+
+    def word_at(at: int) -> int:
+        if not starts:
+            starts.extend(accumulate((len(w) + 1 for w in words), initial=0))
+        return bisect_right(starts, at) - 1
+
     for phrase, label in _BASE:
         at = padded.find(phrase)
         while at >= 0:
-            places.append(padded.count(" ", 0, at + 1) - 1)
+            places.append(word_at(at))
             base.add(label)
             at = padded.find(phrase, at + 1)
     found = []
@@ -106,18 +141,14 @@ def scan_text(text: str) -> dict:
         found += [(notice, *x) for x in notice.search(joined)]
     # of notices that claim the same place, the one with the fewest edits for its length holds it
     found.sort(key=lambda x: (x[3] / len(x[0].text), x[1], -x[2], x[0].label))
-    held: list[tuple[Notice, int, int, int]] = []
-    for x in found:
-        if all(x[2] <= y[1] or x[1] >= y[2] or x[0].label == y[0].label for y in held):
-            held.append(x)
+    claimed = Held()
+    held = [x for x in found if claimed.free(x[1], x[2], x[0].label) and claimed.add(x[1], x[2], x[0].label)]
     spans = []
     if held:
-        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
         where = [m.span() for m in _WORD.finditer(low)]
         for notice, a, b, edits in held:
-            first = bisect_right(starts, a) - 1
-            last = bisect_right(starts, max(a, b - 1)) - 1
-            spans.append((notice.label, where[first][0], where[min(last, len(where) - 1)][1], edits))
+            last = word_at(max(a, b - 1))
+            spans.append((notice.label, where[word_at(a)][0], where[min(last, len(where) - 1)][1], edits))
     score = 1.0 if base else max([1 - edits / len(n.text) for n, _, _, edits in held], default=0.0)
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),

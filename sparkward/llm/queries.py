@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .bpe import bpe_round_trip
@@ -50,7 +51,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
+    told = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"]))
+    return license_scan(read_table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(told, ","))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,81 @@ def test_license_places_before_a_better_one():
         assert [joined[a:b] for a, b, _ in mit.search(joined)] == chosen
 
 
+def distances(part, text):
+    """Edits between part and text[p:q], of every p and q."""
+    out = []
+    for p in range(len(text) + 1):
+        row = list(range(len(part) + 1))
+        ends = [row[-1]]
+        for c in text[p:]:
+            new = [row[0] + 1]
+            for k, x in enumerate(part):
+                new.append(min(row[k + 1] + 1, new[k] + 1, row[k] + (x != c)))
+            row = new
+            ends.append(row[-1])
+        out.append(ends)
+    return out
+
+
+def places_by_hand(parts, text):
+    """{(start, end): fewest edits} of all places where the parts stand, each within its edits."""
+    best = {(p, p): 0 for p in range(len(text) + 1)}
+    for part, k in parts:
+        d, longer = distances(part, text), {}
+        for (a, p), n in best.items():
+            for q in range(p, len(text) + 1):
+                if d[p][q - p] <= k:
+                    longer[a, q] = min(longer.get((a, q), 99), n + d[p][q - p])
+        best = longer
+    return best
+
+
+@pytest.mark.parametrize("which", range(len(license_scan.NOTICES)))
+def test_license_search_against_edit_distances(which):
+    notice = license_scan.Notice(*license_scan.NOTICES[which])
+    parts = license_scan.NOTICES[which][1]
+    r = random.Random(which)
+    for _ in range(4):
+        text = []
+        for _ in range(r.randint(1, 3)):
+            said = list(notice.text)
+            for _ in range(r.randint(0, notice.edits + 2)):
+                at = r.randrange(len(said))
+                said[at : at + r.randint(0, 1)] = r.choice(["", "e", "x ", "t"])
+            text += ["".join(said), r.choice([" ", " and ", ""])]
+        text = "".join(text)[: 260 if len(notice.text) > 60 else 130]
+        places, found = places_by_hand(parts, text), notice.search(text)
+        assert all(places[a, b] == n for a, b, n in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        # nothing that stands is missed: what isn't reported overlaps what is
+        assert all(any(a < y and b > x for x, y, _ in found) for a, b in places)
+
+
+def test_license_places_in_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        start = time.perf_counter()
+        r = license_scan.scan_text("cc by nc " * n + "released under the mit licence " * (n // 20))
+        took.append(time.perf_counter() - start)
+        assert r["n_base"] == n and len(r["spans"]) == n // 20 and r["last_word"] == 3 * n - 3
+    assert took[1] < 30 * took[0] + 1  # eight times the text
+
+
+def test_license_base_by_hand():
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    r = random.Random(5)
+    for _ in range(60):
+        text = "".join(r.choice(["Under the MIT", " license", "-License ", "Apache", " license\nversion", " 2 ", "cc", " BY nc", "é", "_", ".", " x9 ", "İ "]) for _ in range(r.randint(0, 40)))
+        words = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in "".join(c.lower() if c.isascii() else c for c in text)).split(" ")
+        words = [w for w in words if w]
+        at = sorted((i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        got = license_scan.scan_text(text)
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert got["base_labels"] == ",".join(sorted({x for _, x in at})) and {x for _, x in at} <= set(got["labels"].split(","))
+
+
 # --- BPE
 
 
