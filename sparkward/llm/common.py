@@ -34,17 +34,48 @@ def new_table_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in shared storage, which outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, stem: str) -> DataFrame:
     """Cut the lineage with a Parquet table in shared storage (smaller than a checkpoint, and column-pruned when read)."""
     path = new_table_path(df.sparkSession, stem)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again: what was made of them is itself written."""
+    for t in tables:
+        if t is not None:
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more rows than HOT_ROWS, and than one in HOT_SHARE of all, is hot: so there are at most HOT_SHARE of them.
+HOT_ROWS = 100_000
+HOT_SHARE = 1000
+
+
+def hot_keys(rows: DataFrame, column: str) -> DataFrame | None:
+    """(__hot, __salts) of the hot keys of a narrow table, counted with partial sums: a small local table, or None."""
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    found = counts.select("__hot", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__salts")).collect()
+    return rows.sparkSession.createDataFrame(found, counts.select("__hot", F.lit(1).alias("__salts")).schema) if found else None
+
+
+def join_spread(left: DataFrame, right: DataFrame, column: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, column, how) with the rows of left that have a hot key spread over salts, by a hash of the columns
+    `by` and the task they come from; right's rows of hot keys are repeated, a row for each HOT_ROWS of left."""
+    if hot is None:
+        return left.join(right, column, how)
+    hot = F.broadcast(hot)  # at most HOT_SHARE rows
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    place = F.xxhash64(*by, F.spark_partition_id())
+    spread = left.withColumn("__place", place).join(hot, F.col(column) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.col("__place"), salts).cast("int")).drop("__hot", "__salts", "__place")
+    repeated = right.join(hot, F.col(column) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__hot", "__salts")
+    return spread.join(repeated, [column, "__salt"], how).drop("__salt")
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:

@@ -1,10 +1,13 @@
 """Secret scans through an incremental blob ledger.
 
 Every text is a blob, addressed by the SHA-256 of its content, however many paths (documents, or versions of them)
-hold it. The ledger is a Parquet table in shared storage, partitioned by rule version, of the blobs scanned so far
-with their findings. A scan takes the distinct blobs, drops those the ledger already has under this rule version
-(anti-join), scans the rest, appends them, and joins findings back to all paths. A run over versions already seen
-scans nothing; a new rule version scans everything once more beside the old findings.
+hold it. The ledger is a Parquet table in shared storage, partitioned by rule version and run, of the blobs scanned so
+far with their findings. A scan takes the distinct blobs, drops those the ledger already has under this rule version
+(anti-join), scans the rest, adds them as a run of its own, and joins findings back to all paths. A run over versions
+already seen scans nothing and moves no text; a new rule version scans everything once more beside the old findings.
+A run counts once it is complete, and a blob that two runs scanned at the same time counts once, so runs may be
+repeated or overlap. Copies are merged before the shuffle too, so a task sends a hot blob once; where findings are joined
+back, hot blobs are spread over salts.
 
 Defined results: a null text counts as the empty one, which has no findings. Null and repeated doc_ids are paths like
 any other: one row for each row. An empty table gives an empty table. Columns other than doc_id and text aren't read
@@ -15,13 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, new_table_path, shielded, text_of
+from .common import dropped, hot_keys, ids_and_text, join_spread, new_table_path, shielded, text_of, written
 
 RULE_VERSION = 1
 
@@ -33,7 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 _ADDED = (
     ("pem", "-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", None),  # find_jwts
     ("codehost", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("chat", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("cloudkey", "AIza", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
@@ -44,6 +48,26 @@ KINDS = BASE_KINDS + tuple(kind for kind, _, _ in _ADDED)
 _SCHEMA = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+_JWT_REST = re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+_JWT_HEAD = re.compile(r"eyJ[A-Za-z0-9_-]{8,}$")
+_JWT_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+
+
+def find_jwts(text: str) -> list[tuple[int, int]]:
+    """What eyJ[\\w-]{8,}\\.eyJ[\\w-]{8,}\\.[\\w-]{8,} finds, in linear time: from the dots, which part runs of its alphabet."""
+    found, at, seek = [], 0, 0
+    while m := _JWT_REST.search(text, seek):
+        a = m.start()
+        while a > at and text[a - 1] in _JWT_RUN:
+            a -= 1
+        if head := _JWT_HEAD.search(text[a : m.start()]):
+            at = seek = m.end()
+            found.append((a + head.start(), at))
+        else:
+            seek = m.start() + 1
+    return found
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index in KINDS, end) of all matches, sorted; for each kind leftmost and without overlaps."""
     found = []
@@ -55,7 +79,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for k, (_, literal, pattern) in enumerate(_ADDED, len(BASE_KINDS)):
         if literal in text:
-            found += [(m.start(), k, m.end()) for m in pattern.finditer(text)]
+            found += [(a, k, b) for a, b in find_jwts(text)] if pattern is None else [(m.start(), k, m.end()) for m in pattern.finditer(text)]
     found.sort()
     return found
 
@@ -77,22 +101,48 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
+def _runs(spark, ledger: str, rule_version: int) -> list[str]:
+    """The folders of complete runs."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(f"{ledger}/rule_version={rule_version}")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    runs = [x.getPath().toString() for x in fs.listStatus(root)]
+    return sorted(r for r in runs if fs.exists(hadoop(r + "/_SUCCESS")))
+
+
 def read_ledger(spark, ledger: str, rule_version: int) -> DataFrame:
-    """Findings by blob under one rule version; empty where there is no ledger yet."""
-    path = f"{ledger}/rule_version={rule_version}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    """Findings by blob under one rule version, each blob once; empty where there is no ledger yet."""
+    runs = _runs(spark, ledger, rule_version)
+    if not runs:
         return spark.createDataFrame([], _SCHEMA)
-    return spark.read.schema(_SCHEMA).parquet(path)
+    known = spark.read.schema(_SCHEMA).parquet(*runs)
+    return known.dropDuplicates(["blob"]) if len(runs) > 1 else known  # a run has each blob once
+
+
+#: Unseen blobs are broadcast (64 bytes each) up to this many, so that only their texts move; beyond, all move, once.
+FEW_BLOBS = 200_000
 
 
 def update_ledger(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Scan the blobs of docs which the ledger hasn't, append them, and return the ledger."""
+    """Scan the blobs of docs which the ledger hasn't, add them as a run, and return the ledger."""
     spark = docs.sparkSession
     texts = ids_and_text(docs).select(F.sha2("text", 256).alias("blob"), "text")
+    unseen = None
+    if _runs(spark, ledger, rule_version):
+        unseen = written(texts.select("blob").distinct().join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti"), "unseen-blobs")
+        n = unseen.count()
+        if not n:
+            dropped(unseen)
+            return read_ledger(spark, ledger, rule_version)
+        if n <= FEW_BLOBS:
+            texts = texts.join(F.broadcast(unseen), "blob", "left_semi")
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))  # copies are merged before the shuffle too
-    unseen = blobs.join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti")
-    unseen.select("blob", "text").mapInArrow(_scan, _SCHEMA).write.mode("append").parquet(f"{ledger}/rule_version={rule_version}")
+    if unseen is not None and n > FEW_BLOBS:
+        blobs = blobs.join(unseen, "blob", "left_semi")
+    blobs.select("blob", "text").mapInArrow(_scan, _SCHEMA).write.parquet(f"{ledger}/rule_version={rule_version}/run={uuid.uuid4().hex}")
+    dropped(unseen)
     return read_ledger(spark, ledger, rule_version)
 
 
@@ -100,8 +150,8 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: int =
     """Per row of docs: doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans. ledger: a folder, by default a new one."""
     ledger = ledger or new_table_path(docs.sparkSession, "secret-ledger")
     findings = update_ledger(docs, ledger, rule_version)
-    paths = ids_and_text(docs).select("doc_id", F.sha2("text", 256).alias("blob"))
-    return paths.join(findings, "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    paths = written(ids_and_text(docs).select("doc_id", F.sha2("text", 256).alias("blob")), "paths")
+    return join_spread(paths, findings, "blob", hot_keys(paths, "blob"), ["doc_id"]).select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 MASK = "[SECRET]"
@@ -125,8 +175,10 @@ def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """docs with each secret replaced by MASK and n_chars, where there is one, set anew; all rows and columns stay."""
     ledger = ledger or new_table_path(docs.sparkSession, "secret-ledger")
     findings = update_ledger(docs, ledger).where("spans != ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__key", F.sha2(text_of(docs), 256))
-    joined = keyed.join(findings, F.col("__key") == F.col("__blob"), "left").drop("__key", "__blob")
+    keyed = docs.withColumn("__blob", F.sha2(text_of(docs), 256))
+    paths = written(keyed.select("__blob"), "paths")
+    joined = join_spread(keyed, findings, "__blob", hot_keys(paths, "__blob"), ["doc_id"], "left").drop("__blob")
+    dropped(paths)
     where = joined.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 from collections import Counter
 
@@ -243,6 +244,36 @@ def test_secrets_and_ledger(spark, docs, nothing, tmp_path):
     assert secret_scan.scan_secrets(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+def test_ledger_runs_overlap_repeat_and_fail(spark, docs, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    secret_scan.update_ledger(docs, ledger)
+    (folder,) = (tmp_path / "ledger/rule_version=1").iterdir()
+    shutil.copytree(folder, folder.parent / "run=same")  # another run scanned the same blobs at the same time
+    shutil.copytree(folder, folder.parent / "run=broken")
+    (folder.parent / "run=broken/_SUCCESS").unlink()
+    texts = {t or "" for _, t, *_ in ROWS}
+    assert secret_scan.read_ledger(spark, ledger, 1).count() == len(texts)
+    assert len(secret_scan.scan_secrets(docs, ledger).collect()) == len(ROWS)
+    more = spark.createDataFrame([(1, "a new text, token=abcdefabcdef12"), (2, "a new text, token=abcdefabcdef12"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_assign"] for r in secret_scan.scan_secrets(more, ledger).collect()}
+    assert got == {1: 1, 2: 1, 3: 0} and secret_scan.read_ledger(spark, ledger, 1).count() == len(texts) + 1
+
+
+def test_hot_keys_are_spread(spark, docs, monkeypatch):
+    from sparkward.llm import common
+
+    plain = sorted(map(str, secret_scan.scan_secrets(docs).collect())), sorted(map(str, secret_scan.redact(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(secret_scan, "FEW_BLOBS", 0)
+    assert (sorted(map(str, secret_scan.scan_secrets(docs).collect())), sorted(map(str, secret_scan.redact(docs).collect()))) == plain
+    keys = spark.createDataFrame([(k % 3 if k % 2 else None, k) for k in range(200)], "k long, v long")
+    hot = common.hot_keys(keys, "k")
+    assert {r["__hot"]: r["__salts"] for r in hot.collect()} == {0: 33, 1: 34, 2: 33}
+    for how in ("inner", "left"):
+        of = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (9, "d")], "k long, w string")
+        same_rows(common.join_spread(keys, of, "k", hot, ["v"], how).select("k", "v", "w").collect(), keys.join(of, "k", how).select("k", "v", "w").collect())
+
+
 def test_licenses(docs, nothing):
     got = license_scan(docs).collect()
     assert len(got) == len(ROWS) and [r["labels"] for r in got if r["doc_id"] is None] == ["mit", "mit"] and all(r["n_words"] == 0 for r in got if r["doc_id"] in (300, 301, 302))

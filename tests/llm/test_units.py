@@ -50,6 +50,82 @@ def test_secrets():
     assert added == ["codehost", "chat", "jwt"]
 
 
+def secrets_by_hand(text):
+    """The base kinds, letter by letter."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    upper, digits = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    found, n = [], len(text)
+
+    def run(i, allowed):
+        j = i
+        while j < n and text[j] in allowed:
+            j += 1
+        return j
+
+    def assigned(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                for quote in ((j + 1, j) if j < n and text[j] in "\"'" else (j,)):
+                    k = run(quote, " ")
+                    if k < n and text[k] in ":=":
+                        k = run(k + 1, " ")
+                        k += k < n and text[k] in "\"'"
+                        end = run(k, value)
+                        if end > k:
+                            return k, end
+        return None
+
+    i = 0
+    while i < n:
+        if m := assigned(i):
+            if m[1] - m[0] >= 12:
+                found.append((i, 0, m[1]))
+            i = m[1]
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        j = run(i + 4, upper) if text.startswith("AKIA", i) else i
+        if j > i + 4:
+            if j - i >= 18:
+                found.append((i, 1, j))
+            i = j
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        j = run(i, digits)
+        if j - i >= 16:
+            found.append((i, 2, j))
+        i = max(j, i + 1)
+    return sorted(found)
+
+
+def test_secrets_by_hand():
+    r = random.Random(4)
+    parts = ["Password", "passwd", "SECRET", "token", "api_key", "ApiKey", "=", ":", " ", "  ", '"', "'", "abcdefabcdef", "0123456789abcdef", "A1b2+/=.-_", "AKIA", "ABCDEFGHIJ1234", "x", "é", "\n", "Z", "\u0130", "\u212a", "\u017f", "tokentoken="]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert [x for x in secret_scan.find_secrets(text) if x[1] < 3] == secrets_by_hand(text), text
+
+
+def test_web_tokens_in_linear_time():
+    import re
+    import time
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    r = random.Random(6)
+    for _ in range(4000):
+        text = "".join(r.choice(["eyJ", "abcdefgh", ".", ".", "-_1", " ", "eyJabcdefghi"]) for _ in range(r.randint(0, 16)))
+        assert secret_scan.find_jwts(text) == [m.span() for m in plain.finditer(text)], text
+    start = time.perf_counter()
+    for text in ("eyJ" * 300_000, "eyJabcdefgh." * 80_000, ".eyJabcdefgh" * 80_000):
+        secret_scan.find_secrets(text)
+    assert time.perf_counter() - start < 10
+
+
 def test_masking_overlaps():
     text = "token=0123456789abcdef0123 end"
     spans = secret_scan._joined(secret_scan.find_secrets(text))
