@@ -11,10 +11,12 @@ two at a time, in separate tasks. Texts at the threshold meet in one run with th
 p = 1 - (1 - p * THRESHOLD)^BRANCHES, at any depth; there are as many runs as TARGET_RECALL needs. All runs go level
 by level together. No child's sets are gathered beyond LIMIT: rows stream in order of paths, and children with more
 than one in 10,000 of a level's rows (so at most 10,000) are known beforehand, from counts combined on the map side,
-and are split where they stand, without any task receiving them.
+and are split where they stand, without any task receiving them. What DEPTH splits haven't parted is compared block by
+block too, so nothing is ever dropped.
 
 Verification: candidate pairs (distinct, after the sketches) are grouped by connected component, or by two blocks of
-one where it is large, texts are sent there once, and the exact similarity of their sets decides.
+one where it is large (by texts or by bytes), each distinct text is sent there once, and the exact similarity of their
+sets decides.
 
 Defined results: a null text counts as empty. Texts without words are one class without links. A text of fewer than N
 words has one N-gram, all its words. Repeated rows belong to one class. Null doc_ids count as the least. An empty
@@ -23,6 +25,7 @@ table gives an empty table. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -44,7 +47,9 @@ WIDTH = 64
 BRANCHES = 3
 LIMIT = 1000
 SHARE = 10_000  # a path with more than one in SHARE of a level's rows is known beforehand
-GROUP = 1500  # texts that are verified in one group
+GROUP = 1500  # texts in a block of those that are verified together, two blocks at a time
+GROUP_BYTES = 8 << 20  # and their bytes
+DEPTH = 40  # splits of a path before its sets are compared as they are; chance leaves a set far less
 _FIRST = -(1 << 63)
 
 _WORD = re.compile(r"[^\W_]+")
@@ -143,7 +148,7 @@ def children(paths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-_SETS = "uid long, doc_id long, raw_hash long, cls binary, grams long, tokens binary, sketch binary"
+_SETS = "uid long, doc_id long, raw_hash long, size long, cls binary, grams long, tokens binary, sketch binary"
 _ROWS = "path long, uid long, sketch binary"
 _FOUND = "a long, b long, path long, kind int"
 PAIR, SPLIT, DENSE = 0, 1, 2
@@ -161,10 +166,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = shingler.words(text)
             grams = shingler.set_of(words)
             tokens = minhash(grams)
-            raw = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
-            rows.append((uid, i, raw - (raw >> 63 << 64), _class_of(words), len(grams), tokens.tobytes(), sketch(tokens)))
+            encoded = text.encode("utf-8", "surrogatepass")
+            raw = xxhash.xxh64_intdigest(encoded, seed=42)
+            rows.append((uid, i, raw - (raw >> 63 << 64), len(encoded), _class_of(words), len(grams), tokens.tobytes(), sketch(tokens)))
             uid += 1
-        yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()], ["uid", "doc_id", "raw_hash", "cls", "grams", "tokens", "sketch"])
+        yield _batch(rows, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()], ["uid", "doc_id", "raw_hash", "size", "cls", "grams", "tokens", "sketch"])
 
 
 def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
@@ -246,8 +252,9 @@ def _found(a: np.ndarray, b: np.ndarray | None, path: np.ndarray | None, kind: i
     return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), empty if path is None else pa.array(path), pa.array(np.full(n, kind, np.int32))], ["a", "b", "path", "kind"])
 
 
-def _brute_force(limit: int, least: int):
-    """Rows sorted by path: pairs within each path of up to limit rows; the others' rows, tagged by what they need."""
+def _brute_force(limit: int, least: int, deep: bool):
+    """Rows sorted by path: pairs within each path of up to limit rows; the others' rows, tagged by what they need
+    (never a further split, if deep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = np.zeros(0, np.int64)
@@ -263,7 +270,7 @@ def _brute_force(limit: int, least: int):
                 whole = last or k < len(edge) - 2
                 if over is not None and path[lo] == over or hi - lo > limit:
                     if over is None or path[lo] != over:
-                        over, kind = path[lo], DENSE if resemble(sketches[lo:hi]) else SPLIT
+                        over, kind = path[lo], DENSE if deep or resemble(sketches[lo:hi]) else SPLIT
                     yield _found(uid[lo:hi], None, path[lo:hi], kind)
                 elif not whole:
                     break
@@ -347,17 +354,18 @@ def candidates(reps: DataFrame, threshold: float, recall: float, limit: int, sha
     pairs: list[DataFrame] = []
     splits: list[np.ndarray] = []  # of each level, the known paths that were split
     more: DataFrame | None = None  # rows of paths that turned out too large only when they were streamed
-    for level in range(64):
+    for level in itertools.count():
+        deep = level >= DEPTH
         known = sets.mapInArrow(_expand(runs, splits), _ROWS) if not splits or len(splits[-1]) else None
         rows = known if more is None else more if known is None else known.unionByName(more)
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         counted = written(sizes.groupBy(F.when(F.col("n") > limit, F.col("path")).alias("path")).agg(F.sum("n").alias("n")), f"paths-{level}")
         total = counted.agg(F.sum("n")).first()[0] or 0
         big = [r["path"] for r in counted.where(F.col("path").isNotNull() & (F.col("n") > total // share)).select("path").collect()]
-        dense = sorted(_dense_paths(rows, big)) if big else []
+        dense = sorted(big if deep else _dense_paths(rows, big)) if big else []
         split = sorted(set(big) - set(dense))
         rest = _where_path(rows, big, False) if big else rows
-        found = written(rest.repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force(limit, least), _FOUND), f"found-{level}")
+        found = written(rest.repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force(limit, least, deep), _FOUND), f"found-{level}")
         pairs.append(found.where(f"kind = {PAIR}").select("a", "b"))
         kinds = {r["kind"] for r in found.select("kind").distinct().collect()}
         blocks = found.where(f"kind = {DENSE}").select("path", F.col("a").alias("uid"))
@@ -393,15 +401,11 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, limit: int, least: int) -> Data
 
 
 def _verify(threshold: float):
-    """texts (key, uid, cls, text) and pairs (key, a, b) of one group: the pairs that hold, with their similarity."""
+    """texts (key, uid, text) and pairs (key, a, b) of one group: the pairs that hold, with their similarity."""
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        shingler, sets = Shingler(), {}
-        for uid, cls, text in zip(texts.column("uid").to_pylist(), texts.column("cls").to_pylist(), texts.column("text").to_pylist()):
-            if uid not in sets:
-                words = shingler.words(text)
-                if _class_of(words) == cls:  # of rows that share a doc_id, the one meant
-                    sets[uid] = shingler.set_of(words)
+        shingler = Shingler()
+        sets = {uid: shingler.set_of(shingler.words(text)) for uid, text in zip(texts.column("uid").to_pylist(), texts.column("text").to_pylist())}
         rows = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             x, y = sets[a], sets[b]
@@ -425,19 +429,23 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     """
     docs = ids_and_text(docs)
     sets = written(docs.mapInArrow(_sets, _SETS), "sets")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), "uid", "doc_id", "grams", "tokens", "sketch")).alias("r")
-    reps = written(sets.groupBy("cls").agg(first).select("cls", "r.d", "r.uid", "r.doc_id", "r.grams", "r.tokens", "r.sketch"), "classes")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), "uid", "doc_id", "raw_hash", "size", "grams", "tokens", "sketch")).alias("r")
+    reps = written(sets.groupBy("cls").agg(first).select("cls", "r.*"), "classes")
     pairs = candidates(reps, threshold, recall, limit)
     # each component's texts go to one group, or a large component's to one for each two blocks that have pairs
     label = written(components(pairs), "labels")
-    sizes = label.groupBy("label").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    of_size = label.join(reps.select(F.col("uid").alias("node"), "size"), "node")
+    sizes = of_size.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_BYTES)).cast("int").alias("blocks"))
     placed = label.join(sizes, "label").select(F.col("node").alias("a"), "label", "blocks")
     x, y = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))  # both ends are of one component
     key = F.xxhash64("label", F.least(x, y), F.greatest(x, y)).alias("key")
     keyed = written(pairs.join(placed, "a").select("a", "b", key).dropDuplicates(["a", "b"]).select("key", "a", "b"), "keyed")
     needed = keyed.select("key", F.col("a").alias("uid")).unionByName(keyed.select("key", F.col("b").alias("uid"))).distinct()
-    wanted = needed.join(reps.select("uid", "cls", "d"), "uid")
-    texts = docs.withColumn("d", F.coalesce("doc_id", F.lit(_FIRST))).join(wanted, "d").select("key", "uid", "cls", "text")
+    # each class's text is that of its representative: by id and text, so rows that share an id don't multiply
+    wanted = needed.join(reps.select("uid", "d", "raw_hash"), "uid")
+    named = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), F.xxhash64("text").alias("raw_hash"), "text")
+    once = named.join(wanted.select("d", "raw_hash").distinct(), ["d", "raw_hash"], "left_semi").dropDuplicates(["d", "raw_hash"])
+    texts = once.join(wanted, ["d", "raw_hash"]).select("key", "uid", "text")
     links = written(texts.groupBy("key").cogroup(keyed.select(F.col("key").alias("k"), "a", "b").groupBy("k")).applyInArrow(_verify(threshold), "a long, b long, similarity double"), "links")
     # one row for each class that has links
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -180,6 +180,38 @@ def test_known_large_paths_are_split_where_they_stand(spark, docs, monkeypatch):
     assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == expected
 
 
+def test_paths_that_splits_do_not_part_are_compared_as_they_are(docs, monkeypatch):
+    _, expected = links_by_hand()
+    monkeypatch.setattr(ngram_join, "DEPTH", 1)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", 3000)  # and verification goes by blocks of few bytes
+    _, links = ngram_join.ngram_join(docs, limit=4)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == expected
+
+
+def test_links_of_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(12)]
+    near = [" ".join([*t.split()[:55], "other", "end"]) for t in texts]
+    for ids in (lambda k: None, lambda k: 7):
+        rows = [(ids(k), t) for k, t in enumerate(texts + near + texts)]
+        got, links = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+        got = got.collect()
+        assert len(got) == 36 and all(x["n_links"] == 1 for x in got) and sum(x["stays"] for x in got) == 12 and links.count() == 12
+
+
+def test_recall_on_a_whole_table(spark):
+    """All linked pairs of sf0.001, by brute force over every pair of classes."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    s, classes = ngram_join.Shingler(), {}
+    for x in d.select("doc_id", "text").collect():
+        classes.setdefault(" ".join(s.words(x["text"] or "")), []).append(x["doc_id"])
+    reps = [(min(v), set(s.set_of(k.split()).tolist())) for k, v in classes.items() if k]
+    expected = {tuple(sorted((a, b))) for x, (a, g) in enumerate(reps) for b, h in reps[:x] if len(g & h) >= 0.5 * len(g | h)}
+    _, links = ngram_join.ngram_join(d)
+    found = {tuple(sorted((x["a"], x["b"]))) for x in links.collect()}
+    assert found <= expected and len(found) >= 0.99 * len(expected)
+
+
 def test_components(spark):
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(60)]
     parent = {}
