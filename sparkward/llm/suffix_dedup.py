@@ -233,9 +233,9 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 MARKS, SPANS = 1, 2
-_TRAVEL = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("blob", pa.binary())])
-_COUNTED = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("hash", pa.int64()), ("n", pa.int64())])
-_HOME = pa.schema([("shard", pa.int64()), ("blob", pa.binary())])
+_TRAVEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("hash", pa.int64()), ("n", pa.int64())])
+_HOME = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -582,17 +582,17 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> Da
     docs = ids_and_text(docs)
     total = total_text_bytes(docs)
     shards, anchor_buckets, merge_buckets = partitions_for(total, GROUP_BYTES), partitions_for(total, ANCHOR_BYTES), partitions_for(total, MERGE_BYTES)
-    # as many partitions as groups, both grow with the data: a task has a few groups, each of bounded size
-    travel, home = "bucket long, kind int, shard long, blob binary", "shard long, blob binary"
-    sharded = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST))), F.lit(shards))).repartition(shards, "shard")
-    counted = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).repartition(anchor_buckets, "bucket").groupBy("bucket").applyInArrow(count_anchors(shards, hot), "shard long, blob binary, hash long, n long")
+    # a group is a partition of its own number, so no task gets several by chance; their count grows with the data
+    travel, home = "bucket int, kind int, shard int, blob binary", "shard int, blob binary"
+    sharded = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST))), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    counted = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).repartitionById(anchor_buckets, "bucket").groupBy("bucket").applyInArrow(count_anchors(shards, hot), "shard int, blob binary, hash long, n long")
     counted = written(counted, "anchors")
     reports = counted.where("shard IS NULL AND hash IS NULL").agg(F.sum("n")).first()[0] or 0
     often = [r["hash"] for r in counted.where("hash IS NOT NULL").where(F.col("n") > max(hot, reports // HOT_SHARE)).select("hash").collect()]
     hot_hashes = docs.sparkSession.sparkContext.broadcast(np.array(often, np.int64).view(np.uint64))
     marks = counted.where("shard IS NOT NULL").select("shard", "blob")
-    pieces = sharded.groupBy("shard").cogroup(marks.repartition(shards, "shard").groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards, hot_hashes), travel)
-    spans = pieces.repartition(merge_buckets, "bucket").groupBy("bucket").applyInArrow(merge_pieces(shards), home)
+    pieces = sharded.groupBy("shard").cogroup(marks.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards, hot_hashes), travel)
+    spans = pieces.repartitionById(merge_buckets, "bucket").groupBy("bucket").applyInArrow(merge_pieces(shards), home)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return sharded.groupBy("shard").cogroup(spans.repartition(shards, "shard").groupBy("shard")).applyInArrow(cut_spans(with_kept), result)
+    return sharded.groupBy("shard").cogroup(spans.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(cut_spans(with_kept), result)
 
