@@ -11,9 +11,14 @@ Texts are UTF-8 bytes, ordered by doc_id, then by position; strings never cross
 3. Merge. Each shard sends its distinct windows, runs of one anchor as one piece of text, to that anchor's bucket. There
    the sorted fingerprints of one block after another are looked up in those merged so far by binary search, equal
    fingerprints are compared byte by byte, and all but the earliest are covered. Windows of an anchor that very many
-   places share travel singly, to the bucket of their own content, so that no bucket grows with one passage.
+   places share travel singly, to the bucket of their own content, and are merged there for some shards at a time first,
+   so that no task grows with one passage.
 4. The covered stretches join the texts (over the same exchange as in step 2) and are cut out.
 
+A text longer than a part is taken in parts that overlap by LENGTH - 1 bytes: each window lies in one of them, and what
+repeats between parts meets in step 3 like all else. Rows go to shards by doc_id and text, so rows that share a doc_id
+or have none are spread; rows that repeat both very often are taken out beforehand, but for one, and get its result.
+
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing. A null doc_id comes before all
 others. Rows of one doc_id with different texts are ordered by a hash of the text; rows equal in both count as one
 document, and each gets its result. An empty table gives an empty table. Columns other than doc_id and text aren't
@@ -23,6 +28,7 @@ read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, partitions_for, total_text_bytes, written
+from .common import hot_keys, ids_and_text, join_spread, partitions_for, total_text_bytes, written
 
 LENGTH = 100
 GRAM = 16
@@ -213,15 +219,22 @@ def unpack_all(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([k for k, _, _ in parts]), np.concatenate([r for _, r, _ in parts]), [x for _, _, x in parts]
 
 
-def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    """pmod(xxhash64(id), shards), as Spark has it."""
+def shard_of(ids: np.ndarray, shards: int, tags: np.ndarray | None = None) -> np.ndarray:
+    """pmod(xxhash64(id, tag), shards), or of the id alone, as Spark has it."""
     p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
     turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    x = np.ascontiguousarray(ids).astype(np.int64).view(np.uint64)
-    h = turn((np.uint64(42 + 8) + p[4]) ^ (turn(x * p[1], 31) * p[0]), 27) * p[0] + p[3]
-    h = (h ^ (h >> np.uint64(33))) * p[1]
-    h = (h ^ (h >> np.uint64(29))) * p[2]
-    return (h ^ (h >> np.uint64(32))).view(np.int64) % shards
+    h = np.full(len(ids), 42, np.uint64)
+    for column in [ids] if tags is None else [ids, tags]:
+        x = np.ascontiguousarray(column).astype(np.int64).view(np.uint64)
+        h = turn((h + np.uint64(8) + p[4]) ^ (turn(x * p[1], 31) * p[0]), 27) * p[0] + p[3]
+        h = (h ^ (h >> np.uint64(33))) * p[1]
+        h = (h ^ (h >> np.uint64(29))) * p[2]
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64) % shards
+
+
+def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return shard_of(keys["id"], shards, keys["tag"])
 
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -232,7 +245,7 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:b]
 
 
-MARKS, SPANS = 1, 2
+MARKS, SPANS, SINGLE = 1, 2, 3
 _TRAVEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
 _COUNTED = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("hash", pa.int64()), ("n", pa.int64())])
 _HOME = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
@@ -242,34 +255,46 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(schema), schema.types)], schema=schema)
 
 
+def tag_of(text: bytes) -> int:
+    """xxhash64(text), as Spark has it."""
+    h = xxhash.xxh64_intdigest(text, seed=42)
+    return h - (h >> 63 << 64)
+
+
 def keys_of(ids: list[int | None], texts: list[bytes]) -> np.ndarray:
     keys = np.zeros(len(ids), KEY)
     keys["id"] = [_FIRST if i is None else i for i in ids]
-    keys["tag"] = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+    keys["tag"] = [tag_of(t) for t in texts]
     return keys
 
 
 class Texts:
-    """Some texts, one after another in data; keys says which they are."""
+    """Some texts, or parts of them, one after another in data; keys says which they are, base where a part begins."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes]):
-        self.keys = keys_of(ids, texts)
+    def __init__(self, keys: np.ndarray, texts: list[bytes], base: list[int] | None = None):
+        self.keys = keys
+        self.base = np.array(base if base is not None else [0] * len(texts), np.int64)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.data = np.frombuffer(b"".join(texts), np.uint8)
 
 
-def some(ids: list, texts: list[bytes], size: int) -> Iterator[Texts]:
-    """In runs of about size bytes."""
+def some(keys: np.ndarray, texts: list[bytes], size: int) -> Iterator[tuple[int, int, Texts]]:
+    """Texts a:b in runs of about size bytes; a longer text in parts, each a run of its own."""
     a = total = 0
     for b, t in enumerate(texts):
         if b > a and total + len(t) > size:
-            yield Texts(ids[a:b], texts[a:b])
+            yield a, b, Texts(keys[a:b], texts[a:b])
             a, total = b, 0
-        total += len(t)
+        if len(t) > size + LENGTH - 1:
+            for lo in range(0, len(t) - LENGTH + 1, size):
+                yield b, b + 1, Texts(keys[b : b + 1], [t[lo : lo + size + LENGTH - 1]], [lo])
+            a, total = b + 1, 0
+        else:
+            total += len(t)
     if a < len(texts):
-        yield Texts(ids[a:], texts[a:])
+        yield a, len(texts), Texts(keys[a:], texts[a:])
 
 
 # --- step 1
@@ -278,13 +303,14 @@ def some(ids: list, texts: list[bytes], size: int) -> Iterator[Texts]:
 def report_anchors(buckets: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in some(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), 4 << 20):
+            whole = batch.column("text").cast(pa.binary()).to_pylist()
+            for _, _, texts in some(keys_of(batch.column("doc_id").to_pylist(), whole), whole, PART):
                 at, owner, hashes = owners(texts.data, texts.starts, texts.ends)
                 owner = np.unique(owner)
                 found = np.zeros(len(owner), ANCHOR)
                 found["hash"] = hashes[owner]
                 found["doc"] = np.searchsorted(texts.ends, owner, "right")
-                found["pos"] = owner - texts.starts[found["doc"]]
+                found["pos"] = owner - texts.starts[found["doc"]] + texts.base[found["doc"]]
                 order = np.argsort(found["hash"], kind="stable")
                 found = found[order]
                 first = np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]]) if len(found) else np.zeros(0, bool)
@@ -295,7 +321,7 @@ def report_anchors(buckets: int, shards: int):
                 marks = np.zeros(len(again), MARK)
                 marks["doc"], marks["pos"] = again["doc"], again["pos"]
                 marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
-                for shard, own in by_part(shard_of(texts.keys["id"][marks["doc"]], shards)):
+                for shard, own in by_part(shards_of(texts.keys[marks["doc"]], shards)):
                     rows.append((shard % buckets, MARKS, shard, pack(texts.keys, marks[own])))
                 told = found[first]
                 told = told[np.lexsort((told["pos"], told["doc"]))]
@@ -322,7 +348,7 @@ def count_anchors(shards: int, hot: int):
         marks = np.zeros(len(found), MARK)
         marks["doc"], marks["pos"] = found["doc"], found["pos"]
         marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
-        for shard, own in by_part(shard_of(keys["id"][marks["doc"]], shards)):
+        for shard, own in by_part(shards_of(keys[marks["doc"]], shards)):
             rows.append((shard, pack(keys, marks[own]), None, None))
         return pa.Table.from_batches([_table(rows, _COUNTED)])
 
@@ -332,10 +358,12 @@ def count_anchors(shards: int, hot: int):
 # --- step 2
 
 
-def unique_texts(table: pa.Table) -> tuple[list, list[bytes]]:
+def unique_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Different rows in their order: keys and texts."""
     rows = {(_FIRST if i is None else i, t) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist())}
-    rows = sorted(rows, key=lambda r: (r[0], np.uint64(xxhash.xxh64_intdigest(r[1])).view(np.int64)))
-    return [i for i, _ in rows], [t for _, t in rows]
+    rows = sorted((i, tag_of(t), t) for i, t in rows)
+    texts = [t for *_, t in rows]
+    return keys_of([i for i, *_ in rows], texts), texts
 
 
 def number_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -346,8 +374,8 @@ def number_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: int, shards: int) -> list[tuple]:
-    """One suffix array: texts in order, marked by anchor position in data, hot a list of hashes. Rows for step 3."""
+def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: int, shards: int, part: int) -> list[tuple]:
+    """One suffix array: texts in order, marked by anchor position in data, hot a list of hashes. Rows for step 3; part: to which some shards' single windows go first."""
     at, owner, hashes = owners(texts.data, texts.starts, texts.ends)
     own = marked[owner]
     at, owner = at[own], owner[own]
@@ -370,30 +398,37 @@ def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: in
     covered[order] = place[order] != np.repeat(earliest, np.diff(np.append(np.flatnonzero(new), len(order))))
     rows: list[tuple] = []
     doc = np.searchsorted(texts.ends, at, "right")
-    rows += span_rows(texts.keys, doc[covered], (at - texts.starts[doc])[covered], buckets, shards)
+    place = at - texts.starts[doc] + texts.base[doc]
+    rows += span_rows(texts.keys, doc[covered], place[covered], buckets, shards)
     # distinct windows go to step 3: runs with one anchor as one piece, those of hot anchors singly
-    at, owner, doc = at[~covered], owner[~covered], doc[~covered]
+    at, owner, doc, place = at[~covered], owner[~covered], doc[~covered], place[~covered]
     single = np.isin(hashes[owner], hot)  # the same for all places of an anchor, wherever they are
     new = np.concatenate([[True], (np.diff(at) != 1) | (owner[1:] != owner[:-1]) | single[1:] | single[:-1]])
     edge = np.flatnonzero(new)
     pieces = np.zeros(len(edge), PIECE)
     last = np.append(edge[1:] - 1, len(at) - 1)
-    pieces["doc"], pieces["start"] = doc[edge], at[edge] - texts.starts[doc[edge]]
+    pieces["doc"], pieces["start"] = doc[edge], place[edge]
     pieces["size"] = at[last] + LENGTH - at[edge]
     pieces["group"] = hashes[owner[edge]]
     view = texts.data
     for k in np.flatnonzero(single[edge]).tolist():
         pieces["group"][k] = xxhash.xxh3_64_intdigest(view[at[edge[k]] : at[edge[k]] + LENGTH])
-    begin, size = at[edge], pieces["size"].astype(np.int64)
-    for bucket, own in by_part((pieces["group"] % np.uint64(buckets)).astype(np.int64)):
-        own = own[np.argsort(pieces["group"][own], kind="stable")]
-        total = size[own].sum()
-        ends = np.cumsum(size[own])
-        body = view[np.arange(total) + np.repeat(begin[own] - ends + size[own], size[own])]
-        rows.append((bucket, 0, -1, pack(texts.keys, pieces[own], body.tobytes())))
+    begin = at[edge]
+    for kind, chosen in ((0, ~single[edge]), (SINGLE, single[edge])):
+        which = np.flatnonzero(chosen)
+        for bucket, own in by_part((pieces["group"][which] % np.uint64(buckets)).astype(np.int64)):
+            own = which[own]
+            own = own[np.argsort(pieces["group"][own], kind="stable")]
+            rows.append((bucket, kind, part, pack_pieces(texts.keys, pieces[own], view, begin[own])))
     return rows
 
 
+def pack_pieces(keys: np.ndarray, pieces: np.ndarray, data: np.ndarray, begin: np.ndarray) -> bytes:
+    size = pieces["size"].astype(np.int64)
+    ends = np.cumsum(size)
+    return pack(keys, pieces, data[np.arange(size.sum()) + np.repeat(begin - ends + size, size)].tobytes())
+
+
 def span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int, shards: int) -> list[tuple]:
     """Rows with the bytes that windows at (doc, start), sorted, cover."""
     if not len(doc):
@@ -403,33 +438,28 @@ def span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int
     spans = np.zeros(len(a), SPAN)
     low = (1 << 33) - 1
     spans["doc"], spans["start"], spans["end"] = a >> 33, a & low, b & low
-    return [(shard % buckets, SPANS, shard, pack(keys, spans[own])) for shard, own in by_part(shard_of(keys["id"][spans["doc"]], shards))]
+    return [(shard % buckets, SPANS, shard, pack(keys, spans[own])) for shard, own in by_part(shards_of(keys[spans["doc"]], shards))]
 
 
-def sort_shards(buckets: int, shards: int, hot):
+def sort_shards(buckets: int, shards: int, hot, parts: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, texts = unique_texts(docs)
-        keys, found, _ = unpack_all(marks.column("blob").to_pylist(), MARK)
-        number = number_of(keys_of(ids, texts), keys)
+        part = docs.column("shard")[0].as_py() % parts if len(docs) else 0
+        keys, texts = unique_texts(docs)
+        marked_keys, found, _ = unpack_all(marks.column("blob").to_pylist(), MARK)
+        number = number_of(keys, marked_keys)
         doc = number[found["doc"]] if len(found) else np.zeros(0, np.int64)
         order = np.argsort(doc, kind="stable")
-        doc, found = doc[order], found[order]
-        touched = np.unique(doc[doc >= 0]).tolist()
+        doc, pos = doc[order], found["pos"][order].astype(np.int64)
+        touched = np.unique(doc[doc >= 0])
         rows: list[tuple] = []
-        a = 0
-        while a < len(touched):
-            b, total = a, 0
-            while b < len(touched) and (b == a or total + len(texts[touched[b]]) <= SHARD_BYTES):
-                total += len(texts[touched[b]])
-                b += 1
-            some_docs = touched[a:b]
-            part = Texts([ids[d] for d in some_docs], [texts[d] for d in some_docs])
-            lo, hi = np.searchsorted(doc, some_docs[0]), np.searchsorted(doc, some_docs[-1], "right")
-            local = np.searchsorted(some_docs, doc[lo:hi])
-            marked = np.zeros(len(part.data), bool)
-            marked[part.starts[local] + found["pos"][lo:hi]] = True
-            rows += shard_windows(part, marked, hot.value, buckets, shards)
-            a = b
+        for a, b, some_texts in some(keys[touched], [texts[d] for d in touched.tolist()], SHARD_BYTES):
+            lo, hi = np.searchsorted(doc, touched[a]), np.searchsorted(doc, touched[b - 1], "right")
+            local = np.searchsorted(touched[a:b], doc[lo:hi])
+            at = pos[lo:hi] - some_texts.base[local]
+            inside = (at >= 0) & (at < (some_texts.ends - some_texts.starts)[local])
+            marked = np.zeros(len(some_texts.data), bool)
+            marked[(some_texts.starts[local] + at)[inside]] = True
+            rows += shard_windows(some_texts, marked, hot.value, buckets, shards, part)
         return pa.Table.from_batches([_table(rows, _TRAVEL)])
 
     return run
@@ -458,35 +488,55 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+def covered_places(keys: np.ndarray, pieces: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, each piece's document among them, its begin in data, and the places (document << 33 | start) that are covered."""
+    size = pieces["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    # documents in their order, so that places compare as numbers
+    sorted_keys, number = np.unique(keys, return_inverse=True)
+    doc = number[pieces["doc"]].astype(np.int64)
+    order = np.argsort(pieces["group"], kind="stable")
+    group = pieces["group"][order]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
+    windows = np.concatenate([[0], np.cumsum(size[order] - LENGTH + 1)])
+    a = 0
+    covered: list[np.ndarray] = []
+    while a < len(edge) - 1:  # whole groups, as many as make a block; a larger group is merged block by block
+        b = max(a + 1, int(np.searchsorted(windows[edge], windows[edge[a]] + BLOCK, "right")) - 1)
+        covered.append(merge_group(data, begin, size, doc, pieces["start"].astype(np.int64), order[edge[a] : edge[b]]))
+        a = b
+    return sorted_keys, doc, begin, np.sort(np.concatenate(covered))
+
+
 def merge_pieces(shards: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, homes, blobs = table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("blob").to_pylist()
-        out = [(h, b) for k, h, b in zip(kinds, homes, blobs) if k]
-        keys, pieces, bodies = unpack_all([b for k, b in zip(kinds, blobs) if not k], PIECE)
+        out = [(h, b) for k, h, b in zip(kinds, homes, blobs) if k == SPANS]
+        keys, pieces, bodies = unpack_all([b for k, b in zip(kinds, blobs) if k != SPANS], PIECE)
         if len(pieces):
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            size = pieces["size"].astype(np.int64)
-            begin = np.cumsum(size) - size
-            # documents in their order, so that places compare as numbers
-            sorted_keys, number = np.unique(keys, return_inverse=True)
-            doc = number[pieces["doc"]].astype(np.int64)
-            order = np.argsort(pieces["group"], kind="stable")
-            group = pieces["group"][order]
-            edge = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
-            windows = np.concatenate([[0], np.cumsum(size[order] - LENGTH + 1)])
-            a = 0
-            covered: list[np.ndarray] = []
-            while a < len(edge) - 1:  # whole groups, as many as make a block; a larger group is merged block by block
-                b = max(a + 1, int(np.searchsorted(windows[edge], windows[edge[a]] + BLOCK, "right")) - 1)
-                covered.append(merge_group(data, begin, size, doc, pieces["start"].astype(np.int64), order[edge[a] : edge[b]]))
-                a = b
-            place = np.sort(np.concatenate(covered))
+            sorted_keys, _, _, place = covered_places(keys, pieces, np.frombuffer(b"".join(bodies), np.uint8))
             out += [(shard, blob) for _, _, shard, blob in span_rows(sorted_keys, place >> 33, place & ((1 << 33) - 1), 1, shards)]
         return pa.Table.from_batches([_table(out, _HOME)])
 
     return run
 
 
+def merge_singles(buckets: int, shards: int):
+    """Single windows of one bucket from some shards: the covered ones are settled, the others go on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, pieces, bodies = unpack_all(table.column("blob").to_pylist(), PIECE)
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        sorted_keys, doc, begin, place = covered_places(keys, pieces, data)
+        out = span_rows(sorted_keys, place >> 33, place & ((1 << 33) - 1), buckets, shards)
+        stay = np.flatnonzero(~np.isin((doc << 33) + pieces["start"], place))
+        pieces["doc"] = doc
+        return pa.Table.from_batches([_table([*out, (bucket, SINGLE, -1, pack_pieces(sorted_keys, pieces[stay], data, begin[stay]))], _TRAVEL)])
+
+    return run
+
+
 def merge_group(data, begin, size, doc, start, members) -> np.ndarray:
     """Places (document << 33 | start) of the windows in the member pieces that an earlier equal window covers."""
     mark, place, at = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))  # merged so far, sorted by fingerprint
@@ -548,11 +598,11 @@ def settle(data, mark, place, at, covered: list) -> tuple[np.ndarray, np.ndarray
 
 # --- step 4
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("tag", pa.int64())])
 
 
-def cut_spans(with_kept: bool):
-    schema = _RESULT if with_kept else _RESULT.remove(5)
+def cut_spans(with_kept: bool, with_tag: bool = False):
+    schema = pa.schema([f for f in _RESULT if f.name not in ("kept", "tag") or (f.name == "kept" and with_kept) or (f.name == "tag" and with_tag)])
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         keys, found, _ = unpack_all(spans.column("blob").to_pylist(), SPAN)
@@ -562,7 +612,7 @@ def cut_spans(with_kept: bool):
             of.setdefault(named[d], []).extend(members.tolist())
         rows = []
         for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist()):
-            members = of.get((_FIRST if i is None else i, int(np.uint64(xxhash.xxh64_intdigest(t)).view(np.int64)))) if of else None
+            members = of.get((_FIRST if i is None else i, tag_of(t))) if of else None
             if not members:
                 row = (i, len(t), 0, 0, hashlib.sha256(t).hexdigest(), t)
             else:
@@ -571,7 +621,7 @@ def cut_spans(with_kept: bool):
                 a, b = merged_intervals(own["start"].astype(np.int64), own["end"].astype(np.int64))
                 kept = b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)]))
                 row = (i, len(t), len(t) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept)
-            rows.append(row if with_kept else row[:5])
+            rows.append((row if with_kept else row[:5]) + ((tag_of(t),) if with_tag else ()))
         return pa.Table.from_batches([_table(rows, schema)])
 
     return run
@@ -580,19 +630,43 @@ def cut_spans(with_kept: bool):
 def suffix_dedup(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the bytes that stay."""
     docs = ids_and_text(docs)
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST)), F.xxhash64("text"))
+    repeated = hot_keys(docs.select(key.alias("key")), "key")
+    if repeated is None:
+        return _suffix_dedup(docs, with_kept, hot)
+    keyed = docs.withColumn("key", key)
+    often = keyed.join(F.broadcast(repeated), F.col("key") == F.col("__hot"), "left_semi")
+    rest = keyed.join(F.broadcast(repeated), F.col("key") == F.col("__hot"), "left_anti").select("doc_id", "text")
+    one = often.groupBy("doc_id", "text").agg(F.lit(0).alias("n")).select("doc_id", "text")
+    result = written(_suffix_dedup(written(rest.unionByName(one), "suffix-rows"), with_kept, hot, with_tag=True), "suffix-result")
+    told = result.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST)), F.col("tag")))
+    few = told.join(F.broadcast(repeated), F.col("key") == F.col("__hot"), "left_semi")
+    few = few.select("key", F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), *result.columns[1:-1])
+    rows = often.select("doc_id", F.xxhash64("text").alias("tag"), "key")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))
+    again = join_spread(rows, few, "key", repeated, ["doc_id"]).where(same).select(*result.columns[:-1])
+    return told.join(F.broadcast(repeated), F.col("key") == F.col("__hot"), "left_anti").select(*result.columns[:-1]).unionByName(again)
+
+
+def _suffix_dedup(docs: DataFrame, with_kept: bool, hot: int, with_tag: bool = False) -> DataFrame:
     total = total_text_bytes(docs)
     shards, anchor_buckets, merge_buckets = partitions_for(total, GROUP_BYTES), partitions_for(total, ANCHOR_BYTES), partitions_for(total, MERGE_BYTES)
     # a group is a partition of its own number, so no task gets several by chance; their count grows with the data
     travel, home = "bucket int, kind int, shard int, blob binary", "shard int, blob binary"
-    sharded = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST))), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST)), F.xxhash64("text")), F.lit(shards)).cast("int")
+    sharded = docs.withColumn("shard", shard).repartitionById(shards, "shard")
     counted = docs.mapInArrow(report_anchors(anchor_buckets, shards), travel).repartitionById(anchor_buckets, "bucket").groupBy("bucket").applyInArrow(count_anchors(shards, hot), "shard int, blob binary, hash long, n long")
     counted = written(counted, "anchors")
     reports = counted.where("shard IS NULL AND hash IS NULL").agg(F.sum("n")).first()[0] or 0
     often = [r["hash"] for r in counted.where("hash IS NOT NULL").where(F.col("n") > max(hot, reports // HOT_SHARE)).select("hash").collect()]
     hot_hashes = docs.sparkSession.sparkContext.broadcast(np.array(often, np.int64).view(np.uint64))
     marks = counted.where("shard IS NOT NULL").select("shard", "blob")
-    pieces = sharded.groupBy("shard").cogroup(marks.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards, hot_hashes), travel)
+    parts = math.isqrt(shards - 1) + 1
+    pieces = sharded.groupBy("shard").cogroup(marks.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(sort_shards(merge_buckets, shards, hot_hashes, parts), travel)
+    if often:  # a bucket gets a window of theirs from some root of all shards at a time, then from as many such parts
+        pieces = written(pieces, "pieces")
+        merged = pieces.where(f"kind = {SINGLE}").groupBy("bucket", "shard").applyInArrow(merge_singles(merge_buckets, shards), travel)
+        pieces = pieces.where(f"kind != {SINGLE}").unionByName(merged)
     spans = pieces.repartitionById(merge_buckets, "bucket").groupBy("bucket").applyInArrow(merge_pieces(shards), home)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return sharded.groupBy("shard").cogroup(spans.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(cut_spans(with_kept), result)
-
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "") + (", tag long" if with_tag else "")
+    return sharded.groupBy("shard").cogroup(spans.repartitionById(shards, "shard").groupBy("shard")).applyInArrow(cut_spans(with_kept, with_tag), result)

@@ -119,6 +119,41 @@ def test_hot_windows_travel_singly(docs, monkeypatch):
     same_rows(suffix_dedup.suffix_dedup(docs, hot=1).collect(), plain)
 
 
+def removed_by_hand(rows):
+    """{(doc_id, text): (n_removed, n_spans)}; rows in any order."""
+    seen, out = set(), {}
+    for i, _, b in sorted({(-(1 << 63) if i is None else i, suffix_dedup.tag_of(t.encode()), t.encode()) for i, t in rows}):
+        hit = bytearray(len(b))
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                hit[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        out[i, b] = sum(hit), len([x for x in bytes(hit).split(b"\0") if x])
+    return out
+
+
+def test_documents_without_ids_long_texts_and_repeats(spark, monkeypatch):
+    from sparkward.llm import common
+
+    r = random.Random(21)
+    shared = [prose(60) for _ in range(6)]
+    rows = [(None, f"{prose(r.randint(5, 60))} {r.choice(shared)} {prose(10)}") for _ in range(60)]
+    long = " ".join([prose(300), shared[0], prose(700), shared[1], shared[0], prose(200)])
+    rows += [(7, long), (7, long[5000:] + shared[2]), (None, long), (8, "ab" * 3000), (9, "short")] + [rows[0]] * 5 + [(8, "ab" * 3000)] * 3
+    expected = removed_by_hand(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    told = [(-(1 << 63) if i is None else i, t.encode()) for i, t in rows]
+    wanted = sorted((i, len(b), *expected[i, b]) for i, b in told)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 6000)  # several shards
+    for shard_bytes, part, hot_rows in ((2 << 20, 1 << 22, 100_000), (1000, 1500, 100_000), (1000, 1500, 2)):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)  # long texts go in parts
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        monkeypatch.setattr(common, "HOT_ROWS", hot_rows)  # repeated rows are taken out but for one
+        got = suffix_dedup.suffix_dedup(d, hot=2000 if hot_rows > 2 else 1).collect()
+        assert sorted((-(1 << 63) if x["doc_id"] is None else x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got) == wanted
+
+
 def test_blocks_of_a_large_group_merge_alike():
     import numpy as np
 
