@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, keep_rows, shielded, written
+from .common import hot_keys, ids_and_text, join_spread, keep_rows, shielded, written
 
 WINDOW = 32
 MASK = np.uint32((1 << 11) - 1 << 16)  # a cut every 2 KB on average
@@ -98,9 +98,11 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_verified_recipes(recipes: DataFrame) -> DataFrame:
     """Replace identifiers that stand for several contents: the k-th content by SHA-256 becomes (identifier, k)."""
     pairs = recipes.select(F.explode(F.arrays_zip("recipe", "digests")).alias("c")).select("c.recipe", "c.digests").groupBy("recipe", "digests").agg(F.lit(1).alias("one"))
-    several = pairs.groupBy("recipe").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("digests")).alias("contents")).where("n > 1").drop("n")
-    if several.isEmpty():
+    # least and largest digest tell clashing identifiers, of which there are hardly any; only these are listed
+    clashing = pairs.groupBy("recipe").agg(F.min("digests").alias("least"), F.max("digests").alias("largest")).where("least != largest").select("recipe")
+    if clashing.isEmpty():
         return recipes.select("uid", "doc_id", "text_sha256", "raw_hash", "recipe", F.lit(None).cast("array<int>").alias("which"))
+    several = pairs.join(clashing, "recipe", "left_semi").groupBy("recipe").agg(F.array_sort(F.collect_set("digests")).alias("contents"))
     one = recipes.select("uid", F.posexplode(F.arrays_zip("recipe", "digests")).alias("ord", "c")).select("uid", "ord", "c.recipe", "c.digests")
     ranked = one.join(several, "recipe").select("uid", F.struct("ord", F.array_position("contents", F.col("digests")).cast("int").alias("k")).alias("x"))
     which = ranked.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("x")).select("uid", F.flatten(F.transform("x", lambda x: F.array(x["ord"], x["k"]))).alias("which"))
@@ -111,11 +113,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and raw_hash, a hash of the text as it is."""
     recipes = written(ids_and_text(docs).mapInArrow(_recipes, _SCHEMA), "recipes")  # row numbers must stay as they are
     rows = with_verified_recipes(recipes)
-    groups = rows.groupBy("recipe", "which").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count("*").alias("group_size"))
-    a, b = rows.alias("a"), groups.alias("b")
-    return a.join(b, (F.col("a.recipe") == F.col("b.recipe")) & F.col("a.which").eqNullSafe(F.col("b.which"))).select(
-        "a.doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("a.uid") == F.col("best.uid")).alias("kept"), "text_sha256", "raw_hash"
-    )
+    key = F.xxhash64("recipe", "which").alias("key")
+    groups = rows.groupBy("recipe", "which").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count("*").alias("group_size")).select(key, F.col("recipe").alias("r"), F.col("which").alias("w"), "best", "group_size")
+    # a group of copies may have a third of all rows: these narrow rows are then spread
+    keyed = rows.select(key, "*")
+    joined = join_spread(keyed, groups, "key", hot_keys(keyed.select("key"), "key"), ["uid"]).where((F.col("recipe") == F.col("r")) & F.col("which").eqNullSafe(F.col("w")))
+    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256", "raw_hash")
 
 
 @shielded
