@@ -11,8 +11,8 @@ copies gathers in one; each shard is packed alone. What is left open there, unde
 packed once more, as many shards' leftovers together as make a shard, so that a shard's end costs nothing at scale. Only ids, sizes,
 sources and cluster hashes move, never texts.
 
-Defined results: a null text counts as empty; empty texts take no room, and are packed like any. Null sources are one
-source. Repeated rows are items of one cluster. An empty table gives an empty table. Whole texts are packed: the pieces
+Defined results: a null text counts as empty; empty texts take no room and conflict with nothing, so they open no bins of
+their own where another is open. Null sources are one source. Repeated rows are items of one cluster. An empty table gives an empty table. Whole texts are packed: the pieces
 of a text, in order, are all of it.
 """
 
@@ -76,7 +76,7 @@ class Bins:
         self.count[b] += 1
         self.clusters[b] |= cluster
         planes = self.sources[b]
-        for k in range(self.per_source):
+        for k in range(self.per_source if source else 0):
             if not planes[k] & source:
                 planes[k] |= source
                 break
@@ -93,7 +93,7 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
     where, slot, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     size, source, cluster = sizes.tolist(), sources.tolist(), number.tolist()
     for i in np.argsort(-sizes, kind="stable").tolist():
-        b, at = bins.put(size[i], bins.source_bit(source[i]), bins.cluster_bit(cluster[i] if several[i] else None))
+        b, at = bins.put(size[i], bins.source_bit(source[i]), bins.cluster_bit(cluster[i] if several[i] else None)) if size[i] else bins.put(0, 0, 0)
         where[i], offset[i], slot[i] = b, at, bins.count[b] - 1
     return where, slot, offset, np.array(bins.fill, np.int64)
 
