@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -386,13 +387,14 @@ def load(path: str) -> Vocabulary:
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, at_once: int = PARTIAL_WORDS) -> list[str]:
     """The most frequent words of the whole table under 100 characters, at most that many; what reaches the driver is bounded by it."""
+    shipped = share_vocabulary(docs.sparkSession, vocabulary_path)
 
     def told(counts: Counter) -> pa.RecordBatch:
         short = [(w, n) for w, n in counts.items() if len(w) < 100]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = load(vocabulary_path).split, Counter()
+        split, counts = load(SparkFiles.get(shipped)).split, Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 counts.update(split(text))
@@ -418,24 +420,49 @@ def share_file(spark: SparkSession, content: bytes, stem: str) -> str:
     return path.rsplit("/", 1)[1]
 
 
+_shared: dict[tuple[str, str], str] = {}
+
+
+def share_vocabulary(spark: SparkSession, path: str) -> str:
+    """Hand the driver's vocabulary file to all executors, once in an application; its name there."""
+    with open(path, "rb") as f:
+        content = f.read()
+    key = spark.sparkContext.applicationId, hashlib.sha256(content).hexdigest()
+    if key not in _shared:
+        _shared[key] = share_file(spark, content, "vocabulary")
+    return _shared[key]
+
+
 def build_lexicon(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS) -> str:
     vocabulary = load(vocabulary_path)
     often = [w.encode("utf-8") for w in frequent_words(docs, vocabulary_path, words)]
     return share_file(docs.sparkSession, Transducer.build(often, lambda w: vocabulary.merge(w.decode("utf-8"))).dump(), "lexicon")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and bytes of text unless one text has more."""
+    lengths = pc.binary_length(batch.column("text").cast(pa.large_binary())).to_pylist()
+    a = total = 0
+    for b, n in enumerate(lengths):
+        if b > a and (b - a == rows or total + n > size):
+            yield batch.slice(a, b - a)
+            a, total = b, 0
+        total += n
+    if a < len(lengths):
+        yield batch.slice(a)
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary_path: str, with_ids: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and the decoded text."""
-    lexicon = build_lexicon(docs, vocabulary_path)
+    lexicon, shipped = build_lexicon(docs, vocabulary_path), share_vocabulary(docs.sparkSession, vocabulary_path)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(vocabulary_path)
+        vocabulary = load(SparkFiles.get(shipped))
         encoder = Encoder(vocabulary, Transducer.mapped(SparkFiles.get(lexicon)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch):
                 ids, offsets = encoder.encode(part.column("text").to_pylist())
                 data, ends = decode_bytes(vocabulary, ids, offsets)
                 raw, text = memoryview(ids.astype("<u4", copy=False)).cast("B"), memoryview(data)
