@@ -2,16 +2,17 @@
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Of these a sample of at most SAMPLE_ROWS,
 those with the least hashed ids, fits the classifier: first a lexicon of words and word stems that set toxic texts
-apart, then trees over features computed with it, then an isotonic map from the trees' out-of-fold margins to
-probabilities. Language, source and id are no features. Then every whole text is scored in one pass, without a
-shuffle. What is broadcast is bounded: the sampled ids, the lexicon (LEXICON_TERMS) and the trees.
+apart, then trees over features computed with it, then an isotonic map from out-of-fold margins to probabilities: each
+fold's margins come from a lexicon and trees that have seen none of its labels. Language, source and id are no
+features. Then every whole text is scored in one pass, without a shuffle. What is broadcast or collected is bounded:
+the sampled ids, their features, the lexicons (LEXICON_TERMS each) and the trees.
 
 Features: lexicon densities (whole words, stems, weighted, distinct), second-person proximity, capitals, punctuation,
 obfuscation (digits or symbols inside words, stretched letters, lexicon words that show after undoing these).
 
 Defined results: a null text counts as empty and is scored too. Null and repeated doc_ids each give a row (a null
 doc_id isn't held out); labels of null or unknown doc_ids, and null labels, teach nothing; if a doc_id is labelled
-repeatedly its largest label counts. Without any usable labels every score is 0. An empty table gives an empty table.
+repeatedly its largest label counts, and of different texts under one doc_id the one of least hash teaches. Without any usable labels every score is 0. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, written
+from .common import dropped, ids_and_text, written
 
 SAMPLE_ROWS = 12_000
 LEXICON_TERMS = 600
@@ -213,52 +214,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         usable = usable.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * rows / total + 50 / total)))
     few = usable.orderBy("h", "doc_id").limit(rows).select("doc_id", "toxic")  # so broadcasting it is bounded
     texts = ids_and_text(docs).join(F.broadcast(few), "doc_id")
-    return written(texts, "toxicity-sample")
+    one = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")
+    return written(one.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "toxicity-sample")
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """Lexicons from all folds but 0, but 1 and so on, and at last from the whole sample. Terms are counted once, by fold."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 words = {w.lower() for w in _WORD.findall(text)}
                 stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n}
                 for term in [(w, False) for w in words if len(w) > 2] + [(s, True) for s in stems]:
-                    counts.setdefault(term, [0, 0])[toxic] += 1
+                    counts.setdefault(term, [0] * 2 * FOLDS)[2 * fold + toxic] += 1
         terms = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in terms], pa.string()), pa.array([s for _, s in terms], pa.bool_()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())],
-            ["term", "stem", "clean", "toxic"],
-        )
-
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    terms = sample.select("text", "toxic").mapInArrow(count, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = terms.where("toxic >= 3").withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "stem").limit(LEXICON_TERMS).collect()
-    return Lexicon({r["term"]: r["odds"] for r in rows if not r["stem"]}, {r["term"]: r["odds"] for r in rows if r["stem"]})
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()), pa.array([s for _, s in terms], pa.bool_()), *(pa.array([counts[t][k] for t in terms], pa.int64()) for k in range(2 * FOLDS))], names)
+
+    names = ["term", "stem", *(f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "toxic"))]
+    totals = Counter({(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()})
+    schema = "term string, stem boolean, " + ", ".join(f"{c} long" for c in names[2:])
+    terms = written(sample.select("text", "toxic", "fold").mapInArrow(count, schema).groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in names[2:]]), "toxicity-terms")
+    lexicons = []
+    for without in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != without]
+        clean, toxic = (sum(totals[k, kind] for k in folds) for kind in (0, 1))
+        summed = terms.select("term", "stem", *[sum((F.col(f"{kind}{k}") for k in folds), F.lit(0)).alias(kind) for kind in ("clean", "toxic")])
+        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+        rows = summed.where("toxic >= 3").withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "stem").limit(LEXICON_TERMS).collect()
+        lexicons.append(Lexicon({r["term"]: r["odds"] for r in rows if not r["stem"]}, {r["term"]: r["odds"] for r in rows if r["stem"]}))
+    dropped(terms)
+    return lexicons
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels)
-    lexicon = learn_lexicon(sample)
+    lexicons = learn_lexicons(sample)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, lexicon) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            x = [[v for lexicon in lexicons for v in features(t, lexicon)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
-    rows = sample.mapInArrow(compute, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["toxic"].to_numpy(np.float64)
+    rows = sample.mapInArrow(compute, "doc_id long, toxic int, fold int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    dropped(sample)
+    y, fold = rows["toxic"].to_numpy(np.float64), rows["fold"].to_numpy()
     if len(set(y.tolist())) < 2:
-        return Model(lexicon, None, None)
-    x = np.array(rows["x"].tolist())
-    fold = np.arange(len(y)) % FOLDS
+        return Model(lexicons[-1], None, None)
+    x = np.array(rows["x"].tolist()).reshape(len(y), FOLDS + 1, len(FEATURES))
     margins = np.zeros(len(y))
     for k in range(FOLDS):
         train = fold != k
-        margins[~train] = Trees().fit(x[train], y[train]).margin(x[~train])
-    return Model(lexicon, Trees().fit(x, y), isotonic(margins, y))
+        if train.any() and not train.all():
+            margins[~train] = Trees().fit(x[train, k], y[train]).margin(x[~train, k])
+    return Model(lexicons[-1], Trees().fit(x[:, -1], y), isotonic(margins, y))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

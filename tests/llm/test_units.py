@@ -402,6 +402,55 @@ def test_trees_and_isotonic():
     assert (np.diff(p) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
+def features_by_hand(text, lexicon):
+    import math
+    import re
+
+    def weight(word):
+        if word in lexicon.words:
+            return lexicon.words[word], True
+        stems = [s for s in lexicon.stems if word.startswith(s)]
+        return (lexicon.stems[max(stems, key=len)], False) if stems else (0.0, False)
+
+    raw, low = [], []
+    for out, t in ((raw, text), (low, text.lower())):
+        word = ""
+        for c in t + " ":
+            if c.isalnum() and not c.isdigit() and not c.isnumeric():
+                word += c
+            else:
+                out += [word] * bool(word)
+                word = ""
+    n = len(low)
+    hits = [(i, *weight(w)) for i, w in enumerate(low) if weight(w)[0] > 0]
+    seconds = [i for i, w in enumerate(low) if w in toxicity._SECOND]
+    near = sum(any(abs(i - j) <= 5 for j in seconds) for i, _, _ in hits)
+    mixed = undone = 0
+    for m in re.finditer(r"\S+", text):
+        inner = [x for x in re.finditer(r"[0-9@$*!|+]+", m.group()) if x.start() > 0 and m.group()[x.start() - 1].isalpha() and x.end() < len(m.group()) and m.group()[x.end()].isalpha()]
+        mixed += bool(inner)
+        if inner:
+            undone += weight("".join(c for c in m.group().lower().translate(toxicity._LEET) if c.isalpha()))[0] > 0
+    letters = sum(map(len, raw))
+    per = 100 / (n or 1)
+    words, stems = sum(x for _, _, x in hits), sum(not x for _, _, x in hits)
+    stretched = len(re.findall(r"([A-Za-z])\1\1+", text))
+    return {
+        "words": words, "stems": stems, "weighted": sum(w for _, w, _ in hits), "distinct": len({low[i] for i, _, _ in hits}), "density": (words + stems) * per, "second_person": len(seconds) * per, "near": near,
+        "capitals": sum(c.isupper() for w in raw for c in w) / (letters or 1), "shouted": sum(len(w) > 2 and w.isupper() for w in raw) * per, "exclaims": sum(c in "!?" for c in text) * per,
+        "punctuation": (len(text) - letters - sum(c in " \n" for c in text)) / (len(text) or 1), "mixed": mixed * per, "stretched": stretched * per, "undone": undone, "length": math.log1p(n), "word_length": letters / (n or 1),
+    }
+
+
+def test_features_by_hand():
+    lexicon = toxicity.Lexicon({"moron": 3.0, "scum": 2.5}, {"lowe": 2.0, "lowei": 2.2})
+    r = random.Random(3)
+    for _ in range(500):
+        text = " ".join(r.choice(["you", "Your", "moron", "MORON", "scum!", "loweixyz", "lowex", "m0ron", "sc@um", "ein", "d1ch", "yes?", "sooo", "AAAh", "é", "Éa", "42", "x|y", "\n"]) for _ in range(r.randint(0, 30)))
+        got, expected = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon))), features_by_hand(text, lexicon)
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got), (text, got, expected)
+
+
 def test_features_of_odd_texts():
     lexicon = toxicity.Lexicon({"moron": 3.0}, {"lowei": 2.0})
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, lexicon)))
