@@ -17,13 +17,22 @@ def look_alike(name: Column, trusted: tuple[str, ...] = TRUSTED) -> Column:
     return F.when(~low.isin(*trusted), F.coalesce(*near))
 
 
+def _known(registry: DataFrame) -> DataFrame:
+    """ecosystem, name of what counts as existing. A column `found`, where there is one, tells of each lookup: true, false, or
+    null if it failed, which counts as found."""
+    rows = registry.where("coalesce(found, true)") if "found" in registry.columns else registry
+    return rows.select("ecosystem", "name").distinct()
+
+
 def missing_packages(candidates: DataFrame, registry: DataFrame, scoped: bool = True) -> DataFrame:
-    """Candidates that the registry (ecosystem, name) hasn't, or whose name can't be one."""
-    return candidates.where(~valid_package_name(F.col("name"), scoped)).unionByName(candidates.where(valid_package_name(F.col("name"), scoped)).join(registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_anti").select(*candidates.columns))
+    """Candidates that the registry (ecosystem, name, perhaps found) hasn't, or whose name can't be one."""
+    valid = valid_package_name(F.col("name"), scoped)
+    gone = candidates.where(valid).join(_known(registry), ["ecosystem", "name"], "left_anti").select(*candidates.columns)
+    return candidates.where(~valid).unionByName(gone)
 
 
 def known_packages(candidates: DataFrame, registry: DataFrame, scoped: bool = True) -> DataFrame:
-    return candidates.where(valid_package_name(F.col("name"), scoped)).join(registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi").select(*candidates.columns)
+    return candidates.where(valid_package_name(F.col("name"), scoped)).join(_known(registry), ["ecosystem", "name"], "left_semi").select(*candidates.columns)
 
 
 def _told(rows: DataFrame, rule_id: str, title: str, summary: Column, description: str, recommendation: str, score: float, node_ord: int) -> DataFrame:

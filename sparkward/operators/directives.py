@@ -25,26 +25,26 @@ def parse_directives(files: DataFrame, keyword: str = KEYWORD) -> DataFrame:
     return told.where("rule_id != '' AND reason != ''")
 
 
-def match_first_in_first_out(findings: DataFrame, directives: DataFrame, keys: list[str]) -> DataFrame:
-    """findings (keys, line, ord) with directive_line, null where none is left. directives: keys, line."""
-    events = findings.select(*keys, "line", F.lit(0).alias("is_directive"), "ord").unionByName(directives.select(*keys, "line", F.lit(1).alias("is_directive"), F.lit(None).cast(findings.schema["ord"].dataType).alias("ord")))
+def match_first_in_first_out(findings: DataFrame, directives: DataFrame, keys: list[str], kept: tuple[str, ...] = (), told: tuple[str, ...] = ()) -> DataFrame:
+    """findings (keys, line, ord, and what is kept of them) with directive_line and what is told of it, null where none is
+    left. directives: keys, line, and what is told."""
+    none = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    asking = findings.select(*keys, "line", F.lit(0).alias("is_directive"), "ord", *kept, *none(directives, told))
+    events = asking.unionByName(directives.select(*keys, "line", F.lit(1).alias("is_directive"), *none(findings, ("ord", *kept)), *told))
     order = Window.partitionBy(*keys).orderBy("line", "is_directive", "ord")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     run = events.withColumn("s", F.sum(F.col("is_directive") * 2 - 1).over(upto)).withColumn("m", F.least(F.lit(0), F.min("s").over(upto)))
     run = run.withColumn("before", F.coalesce(F.lag("m").over(order), F.lit(0))).withColumn("findings_so_far", F.sum(1 - F.col("is_directive")).over(upto)).withColumn("number", F.sum("is_directive").over(upto))
-    taken = run.where("is_directive = 1").select(*keys, F.col("number").alias("k"), F.col("line").alias("directive_line"))
-    asked = run.where("is_directive = 0").select(*keys, "line", "ord", F.when(F.col("m") == F.col("before"), F.col("findings_so_far") + F.col("m")).alias("k"))
+    taken = run.where("is_directive = 1").select(*keys, F.col("number").alias("k"), F.col("line").alias("directive_line"), *told)
+    asked = run.where("is_directive = 0").select(*keys, "line", "ord", *kept, F.when(F.col("m") == F.col("before"), F.col("findings_so_far") + F.col("m")).alias("k"))
     return asked.join(taken, [*keys, "k"], "left").drop("k")
 
 
 def apply_directives(findings: DataFrame, directives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(active, ignored): ignored has finding (a struct), reason, annotation_line."""
+    """(active, ignored): ignored has finding (a struct), reason, annotation_line. The findings travel along, so one join does."""
     place = F.struct("rule_ord", "file", "fn_pos", "call_pos", "node_ord")
-    keyed = findings.withColumns({"file_key": file_key(F.col("file")), "ord": place})
-    keys = ["repo", "file_key", "rule_id"]
-    matched = match_first_in_first_out(keyed, directives, keys)
-    with_reason = matched.join(directives.select(*keys, F.col("line").alias("directive_line"), "reason"), [*keys, "directive_line"], "left")
-    told = keyed.join(with_reason.select(*keys, "line", "ord", "directive_line", "reason"), [*keys, "line", "ord"])
-    active = told.where("directive_line IS NULL").select(*findings.columns)
-    ignored = told.where("directive_line IS NOT NULL").select(F.struct(*findings.columns).alias("finding"), "reason", F.col("directive_line").alias("annotation_line"))
+    keyed = findings.select("repo", file_key(F.col("file")).alias("file_key"), "rule_id", "line", place.alias("ord"), F.struct(*findings.columns).alias("finding"))
+    told = match_first_in_first_out(keyed, directives, ["repo", "file_key", "rule_id"], ("finding",), ("reason",))
+    active = told.where("directive_line IS NULL").select("finding.*")
+    ignored = told.where("directive_line IS NOT NULL").select("finding", "reason", F.col("directive_line").alias("annotation_line"))
     return active, ignored

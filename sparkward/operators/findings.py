@@ -5,6 +5,9 @@ Reports are per repository; `by` names the columns that tell reports apart (one
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +63,27 @@ def baseline_counts(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def group_by_rule(findings: DataFrame, by: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",), snippet: bool = False, preview: int | None = None) -> DataFrame:
     """One row per rule: title, severity, reason and recommendation of its first finding, the range of confidence,
-    occurrences in order. preview: only so many occurrences (their count stays), where a rule may have any number.
+    occurrences in order. preview: only so many occurrences (their count stays), where a rule may have any number: tasks
+    then send no more than that of a rule, and none gets all of them.
     """
-    place = F.struct(*order)
+    place, keys = F.struct(*order), [*by, "rule_id"]
     first = lambda c: F.min_by(c, place)
     reason = F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.col("description")).otherwise(F.col("summary"))
     one = F.struct(*[F.col(c).alias(f"__{c}") for c in order], "file", "line", *(["snippet"] if snippet else []))
-    rows = findings
-    if preview is not None:
-        rows = findings.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "rule_id").orderBy(*order)))
-        one = F.when(F.col("__n") <= preview, one)
     fields = ["file", "line"] + (["snippet"] if snippet else [])
-    return rows.groupBy(*by, "rule_id").agg(
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("occurrences")
+    told = [
         first(F.col("title")).alias("title"), first(F.col("severity")).alias("severity"), F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"),
         first(reason).alias("reason"), first(F.col("recommendation")).alias("recommendation"), F.count("*").alias("n_occurrences"), F.min(place).alias("first_place"),
-        F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("occurrences"),
-    )
+    ]
+    if preview is None:
+        return findings.groupBy(*keys).agg(*told, listed)
+    heads = findings.groupBy(*keys).agg(*told)
+    least = findings.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= preview)  # limited in each task before the shuffle
+    shown = least.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(listed)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))
+    none = F.array().cast(shown.schema["occurrences"].dataType)
+    return heads.join(shown, same, "left").withColumn("occurrences", F.coalesce("occurrences", none)).drop(*[f"__of_{k}" for k in keys])
 
 
 def severity_summary(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,12 +108,14 @@ def narrative(summary: DataFrame) -> Column:
     )
 
 
-def risk_mix(summary: DataFrame) -> DataFrame:
-    """For each severity its count, rounded percentage, and the stretch it takes of a whole (to 2 places)."""
-    rows = summary.select("total", F.posexplode(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("n")) for s in reversed(SEVERITIES)])).alias("place", "x")).select("total", "place", "x.*")
-    share = F.when(F.col("total") > 0, F.col("n") * 100.0 / F.col("total")).otherwise(0.0)
-    upto = F.sum("share").over(Window.partitionBy("total").orderBy("place"))
-    return rows.withColumn("share", share).select("place", "severity", "n", risk_percentage(F.col("n"), F.col("total")).alias("percent"), F.round(upto - F.col("share"), 2).alias("from_percent"), F.round(upto, 2).alias("to_percent"))
+def risk_mix(summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each report and severity its count, rounded percentage, and the stretch it takes of a whole (to 2 places)."""
+    share = lambda s: F.when(F.col("total") > 0, F.col(s) * 100.0 / F.col("total")).otherwise(0.0)
+    rows, upto = [], F.lit(0.0)
+    for place, s in enumerate(reversed(SEVERITIES)):
+        start, upto = upto, upto + share(s)
+        rows.append(F.struct(F.lit(place).alias("place"), F.lit(s).alias("severity"), F.col(s).alias("n"), risk_percentage(F.col(s), F.col("total")).alias("percent"), F.round(start, 2).alias("from_percent"), F.round(upto, 2).alias("to_percent")))
+    return summary.select(*by, F.inline(F.array(*rows)))
 
 
 def category(rule_id: Column) -> Column:
@@ -137,6 +147,11 @@ def top_actions(groups: DataFrame) -> Column:
     return F.concat(F.upper("severity"), F.lit(" "), F.col("rule_id"), F.lit(": "), F.coalesce("told_short_fix", "recommendation"))
 
 
+def place_in_file(order: str = "ord") -> Column:
+    """The rank of a finding in the order of reports: files by their path with forward slashes, then lines, ties as they came."""
+    return F.row_number().over(Window.partitionBy(F.replace(F.col("file"), F.lit("\\"), F.lit("/"))).orderBy("line", order))
+
+
 def preview_of(occurrences: Column, n_occurrences: Column, shown: int) -> Column:
     """struct(shown: the first as file:line, remaining)."""
     listed = F.transform(F.slice(occurrences, 1, shown), lambda o: F.concat(o["file"], F.lit(":"), o["line"].cast("string")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scoring import html_escape
+
 AROUND = 2
 
 
@@ -29,3 +31,9 @@ def markdown_snippet(snippet: Column) -> Column:
     """A fenced block; >> marks the line itself."""
     row = lambda s: F.concat(F.when(s["highlight"], ">>").otherwise("  "), F.lit(" "), F.lpad(s["line_number"].cast("string"), 4, " "), F.lit(" | "), s["text"])
     return F.when(F.size(snippet) > 0, F.concat(F.lit("```ts\n"), F.array_join(F.transform(snippet, row), "\n"), F.lit("\n```"))).otherwise("")
+
+
+def html_snippet(snippet: Column) -> Column:
+    """One div per line, escaped; empty without lines."""
+    row = lambda s: F.concat(F.lit('<div class="row'), F.when(s["highlight"], " hit").otherwise(""), F.lit('"><b>'), s["line_number"].cast("string"), F.lit("</b> "), html_escape(s["text"]), F.lit("</div>"))
+    return F.when(F.size(snippet) > 0, F.concat(F.lit('<pre class="code">'), F.array_join(F.transform(snippet, row), ""), F.lit("</pre>"))).otherwise("")

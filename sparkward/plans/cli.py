@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None, out=None, state: str = DEFAULT_PATH) ->
     if b := result.baseline:
         say("Baseline created; later runs show what is new or worse.\n" if b["created"] else f"New since the baseline: {b['new_or_regressed_count']} (baseline {b['baseline_count']}, now {b['current_count']})\n")
     if a.output:
-        write_report(report, a.output)
+        write_report(report, a.output, spark)
         say(f"Report written to {a.output}\n")
     say(to_terminal(report, a.limit))
     if report.summary["total"] > 10:

@@ -8,7 +8,10 @@ import json
 from collections.abc import Iterator
 from html import escape as _escape
 
+from pyspark.sql import SparkSession
+
 from ..functions.catalog import CATEGORIES
+from ..sources.storage import local_uri, write_text
 from .scan import Report, Streamed
 
 
@@ -191,10 +194,9 @@ def to_html(report: Report) -> str:
 FORMATS = {".json": json_parts, ".md": markdown_parts, ".html": html_parts}
 
 
-def write_report(report: Report, path: str) -> None:
-    """The format goes by the ending."""
+def write_report(report: Report, path: str, spark: SparkSession | None = None) -> None:
+    """The format goes by the ending. With a session the path may lie in any storage."""
     ending = next((e for e in FORMATS if path.lower().endswith(e)), None)
     if ending is None:
         raise ValueError(f"{path}: use .json, .md or .html")
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(FORMATS[ending](report))
+    write_text(spark, local_uri(path), FORMATS[ending](report))

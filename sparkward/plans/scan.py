@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -19,6 +18,7 @@ from ..sources.baseline import read_baseline, write_baseline
 from ..sources.extract import extract
 from ..sources.manifests import package_candidates
 from ..sources.repository import manifest_files, source_files
+from ..sources.storage import exists, local_uri
 
 
 @dataclass
@@ -29,6 +29,10 @@ class Scan:
     facts: DataFrame
     baseline: dict | None = None
 
+    def release(self) -> None:
+        """Free the cached facts; what is derived from them is computed anew if it is read again."""
+        self.facts.unpersist()
+
     def unreadable(self) -> DataFrame:
         return self.facts.where("error IS NOT NULL").select("repo", "file", "error")
 
@@ -54,17 +58,21 @@ def scan(spark: SparkSession, *paths: str, selected: list[str] | None = None, on
     out.findings = A.at_least(out.findings, severity)
     out.ignored = A.at_least(out.ignored, severity, "finding.severity")
     if baseline is not None:
-        if os.path.exists(baseline):
-            known = read_baseline(spark, baseline)
-            out.baseline = {"created": False, "path": baseline, **A.baseline_counts(out.findings, known).first().asDict()}
-            out.findings = A.baseline_diff(out.findings, known)
-        else:  # written once, from what is left after the severity filter, and all findings are shown
-            write_baseline(out.findings, baseline)
-            n = out.findings.count()
-            out.baseline = {"created": True, "path": baseline, "baseline_count": n, "current_count": n, "new_or_regressed_count": n, "unchanged_count": 0}
+        out.findings, out.baseline = apply_baseline(out.findings, baseline)
     return out
 
 
+def apply_baseline(findings: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """Against a baseline file only what is new or worse is left. Without one it is written, once, and all findings stay."""
+    spark = findings.sparkSession
+    if exists(spark, local_uri(path)):
+        known = read_baseline(spark, path)
+        return A.baseline_diff(findings, known), {"created": False, "path": path, **A.baseline_counts(findings, known).first().asDict()}
+    write_baseline(findings, path)
+    n = findings.count()
+    return findings, {"created": True, "path": path, "baseline_count": n, "current_count": n, "new_or_regressed_count": n, "unchanged_count": 0}
+
+
 ORDER = ("rule_ord", "file", "fn_pos", "call_pos", "node_ord")
 PLACE = ("file", "line", *ORDER[:1], *ORDER[2:])
 SHOWN = 200  # occurrences of a rule that a report holds; a written one lists all
@@ -100,6 +108,10 @@ class Report:
     baseline: dict | None = None
     places: DataFrame | None = None
 
+    def release(self) -> None:
+        if self.places is not None:
+            self.places.unpersist()
+
     def occurrences(self, group: dict) -> list[dict] | Streamed:
         """All occurrences of a group, in order."""
         if len(group["occurrences"]) == group["n_occurrences"]:
@@ -117,13 +129,15 @@ def build_report(result: Scan, version: str = "0.1.0", scanned_at: str | None =
         g = A.group_by_rule(rows, order=PLACE, snippet=True, preview=shown)
         return with_catalog(g).withColumns({"told_short_fix": F.coalesce("told_short_fix", "recommendation"), "range": A.range_text(g)})
 
-    groups = grouped(A.issues(snipped)).persist()
+    groups = grouped(A.issues(snipped)).persist()  # a row per rule
     summary = A.with_decision(A.severity_summary(A.issues(findings)))
     told = summary.withColumn("narrative", A.narrative(summary))
     ignored = with_snippets(result.ignored.select("finding.*", "reason", "annotation_line"), result.files)
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    return Report(
+    report = Report(
         meta={"tool": "sparkward", "version": version, "scannedAt": scanned_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")},
         summary=rows(told)[0], groups=rows(groups.orderBy("first_place")), top=rows(A.top_groups(groups)), categories=rows(A.by_category(groups)),
         informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=Streamed(ignored.orderBy("file", "line", "rule_id", "annotation_line"), result.ignored.count()), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped,
     )
+    groups.unpersist()
+    return report

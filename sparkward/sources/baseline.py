@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import finding_key
+from .storage import local_uri, write_text
 
 SCHEMA = "sparkward-baseline-v1"
 ENTRY = "rule_id string, file string, line int, severity string, confidence double"
@@ -17,7 +18,7 @@ ENTRY = "rule_id string, file string, line int, severity string, confidence doub
 
 def read_baseline(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     """Its entries with ord, their place in the file. Another tag, or findings that are no list, is an error."""
-    whole = spark.read.schema(f"schema string, createdAt string, findings array<struct<{ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>").json(path, multiLine=True)
+    whole = spark.read.schema(f"schema string, createdAt string, findings array<struct<{ENTRY.replace(' ', ': ').replace(',: ', ', ')}>>").json(local_uri(path), multiLine=True)
     row = whole.select("schema", F.col("findings").isNull().alias("none")).first()
     if row is None or row["schema"] != schema or row["none"]:
         raise ValueError(f"{path} is no baseline of {schema}")
@@ -31,11 +32,13 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
 
 
 def write_baseline(findings: DataFrame, path: str, schema: str = SCHEMA) -> None:
-    """One report-sized JSON file, written by the driver row by row."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        made = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        f.write(f'{{\n  "schema": {json.dumps(schema)},\n  "createdAt": {json.dumps(made)},\n  "findings": [')
+    """One report-sized JSON file in any storage, written by the driver row by row."""
+    made = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+    def parts() -> Iterator[str]:
+        yield f'{{\n  "schema": {json.dumps(schema)},\n  "createdAt": {json.dumps(made)},\n  "findings": ['
         for n, row in enumerate(baseline_rows(findings).toLocalIterator()):
-            f.write(("," if n else "") + "\n    " + json.dumps(row.asDict()))
-        f.write("\n  ]\n}\n")
+            yield ("," if n else "") + "\n    " + json.dumps(row.asDict())
+        yield "\n  ]\n}\n"
+
+    write_text(findings.sparkSession, local_uri(path), parts())

@@ -594,3 +594,19 @@ def decls(facts: DataFrame) -> DataFrame:
 
 def call_prompt_nodes(facts: DataFrame) -> DataFrame:
     return facts.select("repo", "file", F.inline("nodes"))
+
+
+def calls_named(calls: DataFrame, name: str) -> DataFrame:
+    """Calls whose callee holds a name, in any case."""
+    return calls.where(F.lower("callee_text").contains(name.lower()))
+
+
+def concatenations(nodes: DataFrame) -> DataFrame:
+    """Prompt nodes put together with +."""
+    return nodes.where("node_kind = 'concat'")
+
+
+def variable_origins(decls: DataFrame) -> DataFrame:
+    """decls with origin: literal, identifier, call or unknown, by what a name was given."""
+    kind = F.col("init_kind")
+    return decls.withColumn("origin", F.when(kind.isin("literal", "identifier", "call"), kind).otherwise("unknown"))

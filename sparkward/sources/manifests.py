@@ -26,7 +26,7 @@ def npm_candidates(files: DataFrame) -> DataFrame:
 
 def requirement_name(line: Column) -> Column:
     """The package that a line of requirements.txt names, or null: blank, comment, option and URL lines have none."""
-    t = F.regexp_replace(line, r"^\s+|\s+$", "")
+    t = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
     skip = (t == "") | t.startswith("#") | t.startswith("-") | t.contains("://")
     name = F.regexp_extract(t, r"^[A-Za-z0-9_.-]+", 0)
     return F.when(~skip & (name != ""), name)

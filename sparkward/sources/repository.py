@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ENDINGS = (".ts", ".tsx", ".js", ".jsx")
 EXCLUDED = frozenset(["node_modules", "dist", "build", "out", ".next"])
 MANIFESTS = ("package.json", "requirements.txt")
-FILES_PER_PARTITION = 200
+PARTS = 8
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, str]]):
-        self.paths = paths
+class _Part(InputPartition):
+    """The part-th of parts of a repository's files."""
+
+    def __init__(self, root: str, part: int, parts: int):
+        self.root, self.part, self.parts = root, part, parts
 
 
 class CodeRepository(DataSource):
-    """Options: path, one repository or several separated by commas; kind, sources (default) or manifests.
+    """Options: path, one repository or several separated by commas, plain or as URIs of a storage; kind, sources (default)
+    or manifests; parts, tasks for each repository. Tasks list and read the files, the driver sees neither.
 
     Unlike the text source it reads files whose names start with an underscore. Directories that start with a dot or
     are in EXCLUDED aren't entered. A file that can't be read is left out.
@@ -38,28 +42,41 @@ class CodeRepository(DataSource):
         return _Reader(self.options)
 
 
+def _listed(files, root: str, folder: str) -> Iterator[str]:
+    """Paths of source files below a folder, relative to the root, in order."""
+    from pyarrow import fs
+
+    found = sorted(files.get_file_info(fs.FileSelector(folder)), key=lambda f: f.base_name)
+    for f in found:
+        if f.type == fs.FileType.File and f.base_name.endswith(ENDINGS) and not f.base_name.startswith("."):
+            yield f.path[len(root) :].lstrip("/")
+    for f in found:
+        if f.type == fs.FileType.Directory and f.base_name not in EXCLUDED and not f.base_name.startswith("."):
+            yield from _listed(files, root, f.path)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.roots = [p for p in options.get("path", "").split(",") if p]
+        self.roots = [p if "://" in p else os.path.abspath(p) for p in options.get("path", "").split(",") if p]
         self.kind = options.get("kind", "sources")
+        self.parts = int(options.get("parts", PARTS)) if self.kind == "sources" else 1
 
     def partitions(self) -> list[InputPartition]:
-        found: list[tuple[str, str]] = []
-        for root in self.roots:
-            root = os.path.abspath(root)
-            if self.kind == "manifests":
-                found += [(root, m) for m in MANIFESTS if os.path.isfile(os.path.join(root, m))]
-                continue
-            for folder, inner, files in os.walk(root):
-                inner[:] = sorted(d for d in inner if d not in EXCLUDED and not d.startswith("."))
-                found += [(root, os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/")) for f in sorted(files) if f.endswith(ENDINGS) and not f.startswith(".")]
-        return [_Files(found[i : i + FILES_PER_PARTITION]) for i in range(0, len(found), FILES_PER_PARTITION)] or [_Files([])]
+        return [_Part(root, k, self.parts) for root in self.roots for k in range(self.parts)] or [_Part("", 0, 1)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        from pyarrow import fs
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for root, file in partition.paths:
+        if not partition.root:
+            return
+        files, root = fs.FileSystem.from_uri(partition.root)
+        root = root.rstrip("/")
+        for file in _listed(files, root, root) if self.kind == "sources" else MANIFESTS:
+            if zlib.crc32(file.encode("utf-8", "surrogatepass")) % partition.parts != partition.part:
+                continue
             try:
-                with open(os.path.join(root, file), encoding="utf-8-sig", errors="replace", newline="") as f:
-                    yield root, file, f.read()
+                with files.open_input_stream(f"{root}/{file}") as f:
+                    yield partition.root, file, f.read().decode("utf-8-sig", "replace")
             except OSError:
                 continue
 

@@ -218,3 +218,36 @@ def test_scan_files_with_an_extra_rule(spark):
 
     extra = {"X1": lambda facts: _findings(calls(facts), "AI100", "own", "low", "start_line", F.lit(0.5), rule_id=F.lit("X1"))}
     assert rows(scan_files(files, ["AI002"], extra).findings, "rule_id", "file") == [("X1", "a.js")]  # one key for both endings
+
+
+def test_previews_are_the_first_of_all(spark):
+    """Bounded occurrences and counts against plain Python, with null groups and ties."""
+    import random
+
+    r = random.Random(3)
+    data = [(r.choice(["AI001", "AI002"]), r.choice(["a", None]), f"f{r.randint(0, 3)}", r.randint(1, 9), k, r.random()) for k in range(300)]
+    f = spark.createDataFrame(data, "rule_id string, repo string, file string, line int, ord int, confidence double").selectExpr("*", "'t' AS title", "'low' AS severity", "'' AS description", "'s' AS summary", "'r' AS recommendation").repartition(7)
+    for preview in (0, 1, 5, 1000):
+        got = {(x["repo"], x["rule_id"]): x for x in A.group_by_rule(f, by=("repo",), preview=preview).collect()}
+        for key in {(d[1], d[0]) for d in data}:
+            own = sorted((d for d in data if (d[1], d[0]) == key), key=lambda d: d[4])
+            assert got[key]["n_occurrences"] == len(own) and [tuple(o) for o in got[key]["occurrences"]] == [(d[2], d[3]) for d in own[:preview]]
+            assert (got[key]["confidence_min"], got[key]["confidence_max"]) == (min(d[5] for d in own), max(d[5] for d in own))
+
+
+def test_mix_of_reports_with_equal_totals(spark):
+    s = spark.createDataFrame([("a", 4, 1, 1, 2, 0), ("b", 4, 0, 0, 0, 4), ("c", 0, 0, 0, 0, 0)], "repo string, total int, critical int, high int, medium int, low int")
+    got = {(x["repo"], x["severity"]): (x["n"], x["percent"], x["from_percent"], x["to_percent"]) for x in A.risk_mix(s, ("repo",)).collect()}
+    assert got["a", "high"] == (1, 25, 25.0, 50.0) and got["b", "low"] == (4, 100, 0.0, 100.0) and got["c", "low"] == (0, 0, 0.0, 0.0) and len(got) == 12
+
+
+def test_lookups_that_failed_count_as_found(spark):
+    registry = spark.createDataFrame([("npm", "a", True), ("npm", "b", False), ("npm", "c", None)], "ecosystem string, name string, found boolean")
+    c = spark.createDataFrame([("npm", x) for x in "abcd"], "ecosystem string, name string")
+    assert rows(D.missing_packages(c, registry), "name") == [("b",), ("d",)] and rows(D.known_packages(c, registry), "name") == [("a",), ("c",)]
+
+
+def test_repositories_by_uri_and_parts(spark, repo):
+    for parts in (1, 3):
+        files = spark.read.format("code_repo").option("path", f"file://{repo}").option("parts", parts).load()
+        assert rows(files, "file", "text") == [("src/_app.tsx", RISKY), ("src/broken.ts", "f(")]
