@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_open: list[list[str]] = []
+
+
 def new_table_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of all tables that are made inside."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
 
 
 def written(df: DataFrame, stem: str) -> DataFrame:
@@ -47,9 +66,14 @@ def dropped(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing will read again: what was made of them is itself written."""
     for t in tables:
         if t is not None:
-            jvm = t.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t._written_at)
-            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop_paths(t.sparkSession, [t._written_at])
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str], *kept: DataFrame) -> None:
+    """Delete tables by path, but for those that are kept."""
+    for p in set(paths) - {t._written_at for t in kept}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A key with more rows than HOT_ROWS, and than one in HOT_SHARE of all, is hot: so there are at most HOT_SHARE of them.

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, keep_rows, shielded, written
+from .common import drop_paths, hot_keys, ids_and_text, join_spread, keep_rows, shielded, tables_made, written
 from .components import components
 
 N = 3
@@ -427,7 +427,21 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     the same words), class_id (least doc_id of all texts that links join), n_links (texts of other words linked to it),
     stays (one row of each class_id), raw_hash. links: a, b (text_ids), similarity: all linked pairs of classes.
     """
-    docs = ids_and_text(docs)
+    with tables_made() as made:
+        sets, reps, links, grouped = _grouped(ids_and_text(docs), threshold, recall, limit)
+    drop_paths(docs.sparkSession, made, sets, reps, links, grouped)
+    heads = grouped.groupBy("label").agg(F.min(F.struct("d", "uid", "text_id")).alias("head")).select("label", F.col("head.text_id").alias("class_id"), F.col("head.uid").alias("head"))
+    named = grouped.join(heads, "label").select("cls", "text_id", "class_id", "n_links", "head")
+    hashed = sets.select("uid", "doc_id", "raw_hash", "cls")
+    # a class may have a third of all rows: these narrow rows are then spread
+    rows = join_spread(hashed, named, "cls", hot_keys(hashed.select("cls"), "cls"), ["uid"]).select("doc_id", "text_id", "class_id", "n_links", (F.col("uid") == F.col("head")).alias("stays"), "raw_hash")
+    of = reps.select("uid", "doc_id")
+    told = links.join(of.select(F.col("uid").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(of.select(F.col("uid").alias("b"), F.col("doc_id").alias("doc_b")), "b")
+    return rows, told.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "similarity")
+
+
+def _grouped(docs: DataFrame, threshold: float, recall: float, limit: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written tables: sets of all rows, one of each class, links between these, and each class with its component's label."""
     sets = written(docs.mapInArrow(_sets, _SETS), "sets")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), "uid", "doc_id", "raw_hash", "size", "grams", "tokens", "sketch")).alias("r")
     reps = written(sets.groupBy("cls").agg(first).select("cls", "r.*"), "classes")
@@ -452,13 +466,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     names = reps.select("uid", "cls", "d", "doc_id")
     grouped = components(links).join(degree, "node").join(names, F.col("node") == F.col("uid"), "right")
     grouped = written(grouped.select("cls", "uid", "d", F.col("doc_id").alias("text_id"), F.coalesce("label", "uid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "grouped")
-    heads = grouped.groupBy("label").agg(F.min(F.struct("d", "uid", "text_id")).alias("head")).select("label", F.col("head.text_id").alias("class_id"), F.col("head.uid").alias("head"))
-    named = grouped.join(heads, "label")
-    hashed = sets.select("uid", "doc_id", "raw_hash", "cls")
-    rows = hashed.join(named.select("cls", "text_id", "class_id", "n_links", "head"), "cls").select("doc_id", "text_id", "class_id", "n_links", (F.col("uid") == F.col("head")).alias("stays"), "raw_hash")
-    of = names.select("uid", "doc_id")
-    told = links.join(of.select(F.col("uid").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(of.select(F.col("uid").alias("b"), F.col("doc_id").alias("doc_b")), "b")
-    return rows, told.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "similarity")
+    return sets, reps, links, grouped
 
 
 @shielded

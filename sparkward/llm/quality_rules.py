@@ -157,7 +157,7 @@ def _leaning(own: DataFrame, parent: DataFrame, same: Column, by: list[str]) ->
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source, and what makes the fence of each ratio: median, spread and size, as __median_symbols and so on."""
-    every = _stats(sketch, []).withColumn("key", F.lit("all"))
+    every = _stats(sketch, []).withColumn("key", F.lit("all"))  # a single row
     lang = _leaning(_stats(sketch, ["lang"]), every, F.col("parent") == "all", ["lang"]).withColumn("key", F.col("lang"))
     own = _leaning(_stats(sketch, ["lang", "source"]), lang, F.col("lang").eqNullSafe(F.col("parent")), ["lang", "source"])
     return own.select("lang", "source", *[F.col(f"{s}_{k}").alias(f"__{s}_{k}") for k in SIZE_OF for s in STATS])
