@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkward.llm.common import read_table, written
+from sparkward.llm.common import drop_paths, read_table, tables_made, written
 from sparkward.llm.exact_dedup import keep_one_of_equal
 from sparkward.llm.ngram_join import keep_one_of_similar
 from sparkward.llm.packing import pack_documents
@@ -48,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage made on its way, and its input, are deleted once its result is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tables_made() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_paths(spark, [*made, *before], docs)
+        before = made
     return docs
