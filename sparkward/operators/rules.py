@@ -17,7 +17,7 @@ from ..sources import extract as X
 
 #: summary, description, recommendation of each rule's findings.
 TEXTS = {
-    "AI001": ("User input is concatenated into a prompt.", "User input flows directly into LLM prompt", "Use role separation and input encoding"),
+    "AI001": ("A prompt is put together with what users send.", "Text from outside becomes part of the prompt without being set apart.", "Keep roles apart and encode what users send."),
     "AI002": ("Prompt or response data is logged.", "Prompt content or model answers are logged, perhaps with sensitive fields.", "Don't log prompts or answers, or mask fields such as email, token or password."),
     "AI003": ("LLM call occurs before auth checks.", "A request handler calls an LLM before authentication checks.", "Run authentication and authorization before any LLM call of a handler."),
     "AI004": ("Large user context sent directly to LLM.", "User, profile or session data goes to an LLM without being cut down.", "Send only the attributes that are needed; mask or drop sensitive ones."),

@@ -11,6 +11,7 @@ Order follows a pre-order walk: by start, and of nodes with one start the longer
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -144,6 +145,8 @@ class File:
         self.functions: list[dict] = []
         self.decls: list[dict] = []
         self.nodes: list[dict] = []
+        self._seen: dict[tuple[int, int, int], dict] = {}
+        self._flat: dict[int, tuple[list[str], list[int]]] = {}
         tokens, _ = tokens_of(text)
         self._walk(tokens)
         self._number()
@@ -412,18 +415,31 @@ class File:
     # --- nodes
 
     def _node(self, ts: list[Token], a: int, b: int) -> dict:
+        key = id(ts), a, b  # arguments are looked at as parts of prompts too
+        if key not in self._seen:
+            self._seen[key] = self._make_node(ts, a, b)
+        return self._seen[key]
+
+    def _make_node(self, ts: list[Token], a: int, b: int) -> dict:
         text = self.text[ts[a].start : ts[b - 1].end]
-        names: list[str] = []
-        self._names(ts[a:b], names)
+        flat, upto = self._names(ts)
+        names = flat[upto[a] : upto[b]]
         stringify = bool(re.search(r"(^|[^\w$])JSON\s*\.\s*stringify\s*(\?\.)?\(", text, re.I)) and self._has_stringify(ts[a:b])
         return {"kind": self._kind(ts, a, b), "text": text, "line": self.line(ts[a].start), "identifiers": names, "has_json_stringify": stringify, "at": ts[a].start}
 
-    def _names(self, ts: list[Token], out: list[str]) -> None:
-        for t in ts:
-            if t.kind == "name" and t.text not in _KEYWORDS:
-                out.append(t.text)
-            for part in t.inner:
-                self._names(part, out)
+    def _names(self, ts: list[Token]) -> tuple[list[str], list[int]]:
+        """All names in a token list, and how many stand before each of its tokens; made once for each list."""
+        found = self._flat.get(id(ts))
+        if found is None:
+            flat, upto = [], [0]
+            for t in ts:
+                if t.kind == "name" and t.text not in _KEYWORDS:
+                    flat.append(t.text)
+                for part in t.inner:
+                    flat += self._names(part)[0]
+                upto.append(len(flat))
+            found = self._flat[id(ts)] = flat, upto
+        return found
 
     def _has_stringify(self, ts: list[Token]) -> bool:
         for k, t in enumerate(ts):
@@ -564,10 +580,14 @@ def facts_of(text: str) -> dict:
     }
 
 
+DEEPEST = 50_000  # frames; templates within templates take two each
+
+
 def extract(source_files: DataFrame) -> DataFrame:
     """One row of facts per source file (repo, file, text); a file that can't be read has its error there and no facts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for batch in batches:
             rows = []
             for repo, file, text in zip(batch["repo"], batch["file"], batch["text"]):

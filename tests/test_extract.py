@@ -59,3 +59,11 @@ def test_containment():
 def test_unreadable():
     with pytest.raises(Unreadable):
         facts_of("function (a { }")
+
+
+def test_deeply_nested_templates(spark):
+    from sparkward.sources import extract as X
+
+    text = "const a = " + "`${" * 2000 + "f(1)" + "}`" * 2000 + ";"
+    row = X.extract(spark.createDataFrame([("r", "a.ts", text)], "repo string, file string, text string")).first()
+    assert row["error"] is None and [c["callee_text"] for c in row["calls"]] == ["f"]
