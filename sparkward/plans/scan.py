@@ -107,10 +107,12 @@ class Report:
     mix: list[dict] = field(default_factory=list)
     baseline: dict | None = None
     places: DataFrame | None = None
+    cached: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        if self.places is not None:
-            self.places.unpersist()
+        """Free what is cached; occurrences that are read later are computed anew."""
+        for rows in self.cached:
+            rows.unpersist()
 
     def occurrences(self, group: dict) -> list[dict] | Streamed:
         """All occurrences of a group, in order."""
@@ -130,14 +132,14 @@ def build_report(result: Scan, version: str = "0.1.0", scanned_at: str | None =
         return with_catalog(g).withColumns({"told_short_fix": F.coalesce("told_short_fix", "recommendation"), "range": A.range_text(g)})
 
     groups = grouped(A.issues(snipped)).persist()  # a row per rule
-    summary = A.with_decision(A.severity_summary(A.issues(findings)))
+    summary = A.with_decision(A.severity_summary(A.issues(snipped)))
     told = summary.withColumn("narrative", A.narrative(summary))
-    ignored = with_snippets(result.ignored.select("finding.*", "reason", "annotation_line"), result.files)
+    ignored = with_snippets(result.ignored.select("finding.*", "reason", "annotation_line"), result.files).persist()
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     report = Report(
         meta={"tool": "sparkward", "version": version, "scannedAt": scanned_at or datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")},
         summary=rows(told)[0], groups=rows(groups.orderBy("first_place")), top=rows(A.top_groups(groups)), categories=rows(A.by_category(groups)),
-        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=Streamed(ignored.orderBy("file", "line", "rule_id", "annotation_line"), result.ignored.count()), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped,
+        informational=rows(grouped(A.informational(snipped)).orderBy("first_place")), ignored=Streamed(ignored.orderBy("file", "line", "rule_id", "annotation_line"), ignored.count()), mix=rows(A.risk_mix(summary)), baseline=result.baseline, places=snipped, cached=[snipped, ignored],
     )
     groups.unpersist()
     return report
