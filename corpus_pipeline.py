@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("ngram_join", near), ("secret_scan", secrets), ("packing", packing)]
 
-#: The fences, the chosen paths and best fit can't be written in SQL; tests hold the stages against brute force.
+#: Chosen paths and best fit can't be written in SQL; tests hold the stages against a pipeline by hand.
 ORACLE_SQL = None
 
 
