@@ -94,29 +94,35 @@ def least_in_reach(h: np.ndarray) -> np.ndarray:
     return (m & low).astype(np.int64)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first depth bytes (at least), and each suffix's rank. Bytes beyond the end count as 0."""
+def suffix_array(data: np.ndarray, depth: int, alike: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first depth bytes (at least), and each suffix's rank. Bytes beyond the end count as 0.
+
+    alike, if given, is set where a suffix and the one before it in order have at least half of depth in common (told by
+    the last refinement but one).
+    """
     n = len(data)
     keys = words8(data)
-    sa = np.argsort(keys, kind="stable").astype(np.int32)
+    sa = np.argsort(keys).astype(np.int32)  # how equals stand is of no account, and the plain sort is the faster one
     ordered = keys[sa]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     del keys, ordered
     group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0)).astype(np.int32)
     rank = np.empty(n, np.int32)
     rank[sa] = group
-    h = 8
+    h, near = 8, np.zeros(0, np.int64)
     while h < depth:
         # only groups of more than one suffix are sorted further
         single = new & np.append(new[1:], True)
         at = np.flatnonzero(~single)
         if not len(at):
             break
+        if depth <= 2 * h:
+            near = ~new
         suffix = sa[at]
         after = suffix.astype(np.int64) + h
         second = np.where(after < n, rank[np.minimum(after, n - 1)].astype(np.int64) + 1, 0)
         key = group[at].astype(np.int64) << 32 | second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         sa[at] = suffix[order]
         new[at] = np.concatenate([[True], key[1:] != key[:-1]])
@@ -124,32 +130,45 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank[sa] = group
         h *= 2
     rank[sa] = np.arange(n, dtype=np.int32)
+    if alike is not None:
+        alike[sa[near]] = True  # groups keep their places in order while their suffixes are sorted
     return sa, rank
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, at most `most`, by text position.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, alike: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in order, at most `most`, by text position. alike: only of these
+    suffixes, which have most // 2 in common at least, the others' are below that and given as 0.
 
     Kasai: the prefix at position i+1 is at least that at i less one. Lanes of positions run side by side. As suffixes
     equal to the sorted depth are in no order, this bound needs a check after a prefix that reached `most`.
     """
     n = len(data)
-    lane = 256
+    lane = max(16, min(256, n >> 13))  # lanes enough for a step to be worth its call
     lanes = -(-n // lane)
     first = np.arange(lanes, dtype=np.int64) * lane
     padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
     words = np.ndarray((len(padded) - 8,), "<u8", padded, 0, (1,))
     out = np.zeros(n, np.int16)
     h, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    least = 0
+    if alike is not None:
+        least, padded_alike = most // 2, np.append(alike, np.zeros(lane, bool))
     for t in range(lane):
         i = first + t
-        live = np.flatnonzero(i < n)
+        if alike is None:
+            live = np.flatnonzero(i < n)
+        else:
+            known = padded_alike[i]
+            live = np.flatnonzero(known)
+            h[~known] = 0
+            if not len(live):
+                continue
         i = i[live]
         r = rank[i]
         j = np.where(r > 0, sa[np.maximum(r - 1, 0)], 0).astype(np.int64)
-        k = np.maximum(h[live] - 1, 0)
+        k = np.maximum(h[live] - 1, least)
         follows = before[live] + 1
-        k[(h[live] == most) & ((follows >= n) | (rank[np.minimum(follows, n - 1)] >= r))] = 0
+        k[(h[live] == most) & ((follows >= n) | (rank[np.minimum(follows, n - 1)] >= r))] = least
         room = np.minimum(n - np.maximum(i, j), most)
         k = np.minimum(k, room)
         open_ = np.flatnonzero((r > 0) & (k < room))
@@ -237,6 +256,11 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard_of(keys["id"], shards, keys["tag"])
 
 
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; true at the first."""
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+
+
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices of its members)."""
     order = np.argsort(part, kind="stable")
@@ -306,25 +330,22 @@ def report_anchors(buckets: int, shards: int):
             whole = batch.column("text").cast(pa.binary()).to_pylist()
             for _, _, texts in some(keys_of(batch.column("doc_id").to_pylist(), whole), whole, PART):
                 at, owner, hashes = owners(texts.data, texts.starts, texts.ends)
-                owner = np.unique(owner)
+                owner = owner[changes(owner)]  # as places rise, so do their anchors
                 found = np.zeros(len(owner), ANCHOR)
                 found["hash"] = hashes[owner]
                 found["doc"] = np.searchsorted(texts.ends, owner, "right")
                 found["pos"] = owner - texts.starts[found["doc"]] + texts.base[found["doc"]]
-                order = np.argsort(found["hash"], kind="stable")
-                found = found[order]
-                first = np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]]) if len(found) else np.zeros(0, bool)
+                order = np.argsort(found["hash"])
+                first = changes(found["hash"][order])
                 last = np.append(first[1:], True) if len(found) else first
                 rows = []
                 # an anchor that stands here more than once is known to repeat: its places go home, one of them is reported
-                again = found[~(first & last)]
+                again = found[np.sort(order[~(first & last)])]
                 marks = np.zeros(len(again), MARK)
                 marks["doc"], marks["pos"] = again["doc"], again["pos"]
-                marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
-                for shard, own in by_part(shards_of(texts.keys[marks["doc"]], shards)):
+                for shard, own in by_part(shards_of(texts.keys, shards)[marks["doc"]]):
                     rows.append((shard % buckets, MARKS, shard, pack(texts.keys, marks[own])))
-                told = found[first]
-                told = told[np.lexsort((told["pos"], told["doc"]))]
+                told = found[np.sort(order[first])]
                 for bucket, own in by_part((told["hash"] % np.uint64(buckets)).astype(np.int64)):
                     rows.append((bucket, 0, -1, pack(texts.keys, told[own])))
                 yield _table(rows, _TRAVEL)
@@ -338,17 +359,16 @@ def count_anchors(shards: int, hot: int):
         rows = [(h, b, None, None) for k, h, b in zip(kinds, homes, blobs) if k]
         keys, found, _ = unpack_all([b for k, b in zip(kinds, blobs) if not k], ANCHOR)
         rows.append((None, None, None, len(found)))
-        order = np.argsort(found["hash"], kind="stable")
-        found = found[order]
-        edge = np.flatnonzero(np.concatenate([[True], found["hash"][1:] != found["hash"][:-1]])) if len(found) else np.zeros(0, int)
+        found = found[np.argsort(found["hash"])]
+        edge = np.flatnonzero(changes(found["hash"]))
         size = np.repeat(np.diff(np.append(edge, len(found))), np.diff(np.append(edge, len(found))))
         often = np.unique(found["hash"][size > hot], return_counts=True)
         rows += [(None, None, h, n) for h, n in zip(often[0].view(np.int64).tolist(), often[1].tolist())]
         found = found[size > 1]
         marks = np.zeros(len(found), MARK)
         marks["doc"], marks["pos"] = found["doc"], found["pos"]
-        marks = marks[np.lexsort((marks["pos"], marks["doc"]))]
-        for shard, own in by_part(shards_of(keys[marks["doc"]], shards)):
+        marks = marks[np.argsort(found["doc"].astype(np.uint64) << np.uint64(32) | found["pos"])]
+        for shard, own in by_part(shards_of(keys, shards)[marks["doc"]]):
             rows.append((shard, pack(keys, marks[own]), None, None))
         return pa.Table.from_batches([_table(rows, _COUNTED)])
 
@@ -386,9 +406,10 @@ def shard_windows(texts: Texts, marked: np.ndarray, hot: np.ndarray, buckets: in
     to = np.cumsum(size) - size  # where each stretch begins in the shard's text
     data = texts.data[np.arange(size.sum()) + np.repeat(a - to, size)]
     place = at - np.repeat(a - to, np.diff(np.append(np.searchsorted(at, a), len(at))))  # of each window in it
-    sa, rank = suffix_array(data, LENGTH)
-    prefix = common_prefixes(data, sa, rank, LENGTH)
-    order = np.argsort(rank[place], kind="stable")
+    alike = np.zeros(len(data), bool)
+    sa, rank = suffix_array(data, LENGTH, alike)
+    prefix = common_prefixes(data, sa, rank, LENGTH, alike)
+    order = np.argsort(rank[place])
     # between two windows next to each other in order, other suffixes may stand: the least common prefix counts
     breaks = np.cumsum(prefix[sa] < LENGTH)
     group = breaks[rank[place[order]]]
@@ -438,7 +459,7 @@ def span_rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int
     spans = np.zeros(len(a), SPAN)
     low = (1 << 33) - 1
     spans["doc"], spans["start"], spans["end"] = a >> 33, a & low, b & low
-    return [(shard % buckets, SPANS, shard, pack(keys, spans[own])) for shard, own in by_part(shards_of(keys[spans["doc"]], shards))]
+    return [(shard % buckets, SPANS, shard, pack(keys, spans[own])) for shard, own in by_part(shards_of(keys, shards)[spans["doc"]])]
 
 
 def sort_shards(buckets: int, shards: int, hot, parts: int):
@@ -448,7 +469,7 @@ def sort_shards(buckets: int, shards: int, hot, parts: int):
         marked_keys, found, _ = unpack_all(marks.column("blob").to_pylist(), MARK)
         number = number_of(keys, marked_keys)
         doc = number[found["doc"]] if len(found) else np.zeros(0, np.int64)
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(doc)
         doc, pos = doc[order], found["pos"][order].astype(np.int64)
         touched = np.unique(doc[doc >= 0])
         rows: list[tuple] = []
@@ -551,7 +572,7 @@ def merge_group(data, begin, size, doc, start, members) -> np.ndarray:
         new_at = np.repeat(begin[own], n) + step
         new_place = np.repeat((doc[own] << 33) + start[own], n) + step
         new_mark = fingerprints(data, new_at)
-        order = np.lexsort((new_place, new_mark))
+        order = np.argsort(new_mark)
         new_mark, new_place, new_at = new_mark[order], new_place[order], new_at[order]
         # within the block, the first of equals stays
         new_mark, new_place, new_at = settle(data, new_mark, new_place, new_at, covered)
@@ -563,7 +584,7 @@ def merge_group(data, begin, size, doc, start, members) -> np.ndarray:
                 both = np.concatenate([new_mark[hit], mark[found[hit]]]), np.concatenate([new_place[hit], place[found[hit]]]), np.concatenate([new_at[hit], at[found[hit]]])
                 keep = np.ones(len(mark), bool)
                 keep[found[hit]] = False
-                order = np.lexsort((both[1], both[0]))
+                order = np.argsort(both[0])
                 both = settle(data, *(x[order] for x in both), covered)
                 mark, place, at = mark[keep], place[keep], at[keep]
                 new_mark, new_place, new_at = (np.concatenate([x[~hit], y]) for x, y in zip((new_mark, new_place, new_at), both))
@@ -576,24 +597,27 @@ def merge_group(data, begin, size, doc, start, members) -> np.ndarray:
 
 
 def settle(data, mark, place, at, covered: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows sorted by fingerprint and place, drop those equal to an earlier one; their places join covered.
+    """Of windows sorted by fingerprint, drop those equal to an earlier one; their places join covered.
 
     Different windows of one fingerprint (which chance hardly makes) are kept apart by giving them other fingerprints.
     """
     if not len(mark):
         return mark, place, at
-    first = np.concatenate([[True], mark[1:] != mark[:-1]])
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(mark)), 0))
-    rest = np.flatnonzero(~first)
+    edge = np.flatnonzero(changes(mark))
+    if len(edge) == len(mark):
+        return mark, place, at
+    times = np.diff(np.append(edge, len(mark)))
+    leads = place == np.repeat(np.minimum.reduceat(place, edge), times)  # one of each fingerprint, as places differ
+    lead, rest = np.repeat(np.flatnonzero(leads), times), np.flatnonzero(~leads)
     same = same_bytes(data, at[rest], at[lead[rest]])
     if not same.all():
         mark = mark.copy()
         for k in rest[~same].tolist():
             mark[k] = xxhash.xxh3_64_intdigest(data[at[k] : at[k] + LENGTH].tobytes())
-        order = np.lexsort((place, mark))
+        order = np.argsort(mark)
         return settle(data, mark[order], place[order], at[order], covered)
     covered.append(place[rest])
-    return mark[first], place[first], at[first]
+    return mark[leads], place[leads], at[leads]
 
 
 # --- step 4

@@ -308,6 +308,15 @@ def test_suffix_array_and_prefixes(make):
         assert prefixes[i] == k
 
 
+@pytest.mark.parametrize("make", [lambda: rng.randbytes(3000), lambda: b"abcd" * 500, lambda: (x := rng.randbytes(400)) + b"q" + x + b"r" + x[50:350] + b"\0" * 150, lambda: bytes(rng.choice(b"ab") for _ in range(40)) * 30, lambda: b"\0" * 300])
+def test_prefixes_where_suffixes_are_alike(make):
+    data = np.frombuffer(make(), np.uint8)
+    alike = np.zeros(len(data), bool)
+    sa, rank = suffix_dedup.suffix_array(data, 100, alike)
+    whole, some = suffix_dedup.common_prefixes(data, sa, rank, 100), suffix_dedup.common_prefixes(data, sa, rank, 100, alike)
+    assert (some[alike] == whole[alike]).all() and (some[~alike] == 0).all() and (whole[~alike] < 100).all()
+
+
 def test_owners_are_told_by_content():
     data = np.frombuffer(rng.randbytes(500) + b"xy" * 200, np.uint8)
     at, owner, h = suffix_dedup.owners(data, np.array([0, 450, 560]), np.array([450, 540, 900]))
