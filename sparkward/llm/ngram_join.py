@@ -431,7 +431,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TA
         sets, reps, links, grouped = _grouped(ids_and_text(docs), threshold, recall, limit)
     drop_paths(docs.sparkSession, made, sets, reps, links, grouped)
     heads = grouped.groupBy("label").agg(F.min(F.struct("d", "uid", "text_id")).alias("head")).select("label", F.col("head.text_id").alias("class_id"), F.col("head.uid").alias("head"))
-    named = grouped.join(heads, "label").select("cls", "text_id", "class_id", "n_links", "head")
+    named = join_spread(grouped, heads, "label", hot_keys(grouped.select("label"), "label"), ["uid"]).select("cls", "text_id", "class_id", "n_links", "head")
     hashed = sets.select("uid", "doc_id", "raw_hash", "cls")
     # a class may have a third of all rows: these narrow rows are then spread
     rows = join_spread(hashed, named, "cls", hot_keys(hashed.select("cls"), "cls"), ["uid"]).select("doc_id", "text_id", "class_id", "n_links", (F.col("uid") == F.col("head")).alias("stays"), "raw_hash")
@@ -450,7 +450,8 @@ def _grouped(docs: DataFrame, threshold: float, recall: float, limit: int) -> tu
     label = written(components(pairs), "labels")
     of_size = label.join(reps.select(F.col("uid").alias("node"), "size"), "node")
     sizes = of_size.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("size") / GROUP_BYTES)).cast("int").alias("blocks"))
-    placed = label.join(sizes, "label").select(F.col("node").alias("a"), "label", "blocks")
+    hot = hot_keys(label.select("label"), "label")  # a component may hold a third of all classes
+    placed = join_spread(label, sizes, "label", hot, ["node"]).select(F.col("node").alias("a"), "label", "blocks")
     x, y = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))  # both ends are of one component
     key = F.xxhash64("label", F.least(x, y), F.greatest(x, y)).alias("key")
     keyed = written(pairs.join(placed, "a").select("a", "b", key).dropDuplicates(["a", "b"]).select("key", "a", "b"), "keyed")
