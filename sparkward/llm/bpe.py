@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, ids_and_text, new_table_path, written
 
-LEXICON_WORDS = 1 << 15
+LEXICON_WORDS = 1 << 16
 PARTIAL_WORDS = 200_000  # different words that a task counts before it hands the counts on
 NO_RANK = 1 << 40
 MEMO_WORDS = 200_000  # words merged by one worker that it remembers; the memo starts anew when full
@@ -148,38 +148,40 @@ class Vocabulary:
         return np.where(hit, ranks[at], NO_RANK), results[at]
 
     def merge_many(self, words: list[str]) -> list[np.ndarray]:
-        """merge() of many words; each round merges one pair in every word that still has one."""
-        out: list = [None] * len(words)
+        """merge() of many words."""
+        ids, lengths = self.merge_flat(words)
+        return np.split(ids, np.cumsum(lengths)[:-1]) if words else []
+
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words: their ids, one word after another, and how many each has. Each round merges one pair in
+        every word that still has one."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]  # words and their ids
         short = []
         for k, w in enumerate(words):
             if not 0 < len(w) <= 40 or w in self.special:
-                out[k] = np.array(self.merge(w), np.uint32)
+                own = np.array(self.merge(w), np.int64)
+                done.append((np.full(len(own), k), own))
             else:
                 short.append(k)
         coded = [words[k].encode("utf-8", "surrogatepass") for k in short]
         ids = self._of_byte[np.frombuffer(b"".join(coded), np.uint8)]
         word = np.repeat(np.array(short, np.int64), np.fromiter(map(len, coded), np.int64, len(coded)))
-        if not len(ids):
-            for k in short:
-                out[k] = np.zeros(0, np.uint32)
-            return out
-        same = word[1:] == word[:-1]
         rank, to = np.full(len(ids), NO_RANK), np.zeros(len(ids), np.int64)
-        rank[:-1], to[:-1] = self._ranks(ids[:-1], ids[1:])
-        rank[:-1][~same] = NO_RANK
-        while True:
+        if len(ids):
+            rank[:-1], to[:-1] = self._ranks(ids[:-1], ids[1:])
+            rank[:-1][word[1:] != word[:-1]] = NO_RANK
+        while len(ids):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             length = np.diff(np.append(first, len(word)))
             best = np.minimum.reduceat(rank, first)
             over = best == NO_RANK
             if over.any():
-                for f, n in zip(first[over].tolist(), length[over].tolist()):
-                    out[word[f]] = ids[f : f + n].astype(np.uint32)
                 live = ~np.repeat(over, length)
+                done.append((word[~live], ids[~live]))
                 ids, word, rank, to = ids[live], word[live], rank[live], to[live]
                 best, length = best[~over], length[~over]
                 if not len(ids):
-                    return out
+                    break
             hits = np.flatnonzero(rank == np.repeat(best, length))
             at = hits[np.concatenate([[True], word[hits][1:] != word[hits][:-1]])]  # the leftmost of each word
             ids[at] = to[at]
@@ -187,11 +189,14 @@ class Vocabulary:
             keep[at + 1] = False
             at = at - np.arange(len(at))
             ids, word, rank, to = ids[keep], word[keep], rank[keep], to[keep]
-            changed = np.unique(np.concatenate([at, at - 1]))
-            changed = changed[changed >= 0]
+            touched = np.zeros(len(ids), bool)
+            touched[at] = touched[np.maximum(at - 1, 0)] = True
+            changed = np.flatnonzero(touched)
             follows = np.minimum(changed + 1, len(ids) - 1)
             rank[changed], to[changed] = self._ranks(ids[changed], ids[follows])
             rank[changed[(follows == changed) | (word[follows] != word[changed])]] = NO_RANK
+        of, merged = (np.concatenate(x) for x in zip(*done))
+        return merged[np.argsort(of, kind="stable")].astype(np.uint32), np.bincount(of, minlength=len(words)).astype(np.int64)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over linked neighbours, in n log n."""
@@ -336,11 +341,10 @@ class Encoder:
         self.memo_ids, self.memo_offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        merged = self.vocabulary.merge_many(words)
+        merged, lengths = self.vocabulary.merge_flat(words)
         self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
-        self.memo_ids = np.concatenate([self.memo_ids, *merged])
-        ends = np.cumsum(np.fromiter(map(len, merged), np.int64, len(merged)))
-        self.memo_offsets = np.concatenate([self.memo_offsets, self.memo_offsets[-1] + ends])
+        self.memo_ids = np.concatenate([self.memo_ids, merged])
+        self.memo_offsets = np.concatenate([self.memo_offsets, self.memo_offsets[-1] + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after another, and the offsets at which each text's begin."""
