@@ -85,15 +85,16 @@ class Bins:
         return b, offset
 
 
-def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, slot and offset of each item, and each bin's fill. Items are taken by size, largest first, ties as they come."""
+def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY, per_source: int = PER_SOURCE, empty_conflict: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, slot and offset of each item, and each bin's fill. Items are taken by size, largest first, ties as they come.
+    empty_conflict: whether items without any size count for sources and clusters as others do."""
     bins = Bins(capacity, per_source)
     _, number, times = np.unique(clusters, return_inverse=True, return_counts=True)
     several = (times > 1)[number].tolist()
     where, slot, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     size, source, cluster = sizes.tolist(), sources.tolist(), number.tolist()
     for i in np.argsort(-sizes, kind="stable").tolist():
-        b, at = bins.put(size[i], bins.source_bit(source[i]), bins.cluster_bit(cluster[i] if several[i] else None)) if size[i] else bins.put(0, 0, 0)
+        b, at = bins.put(size[i], bins.source_bit(source[i]), bins.cluster_bit(cluster[i] if several[i] else None)) if size[i] or empty_conflict else bins.put(0, 0, 0)
         where[i], offset[i], slot[i] = b, at, bins.count[b] - 1
     return where, slot, offset, np.array(bins.fill, np.int64)
 
@@ -103,7 +104,7 @@ def _pack_group(capacity: int, per_source: int):
         table = table.combine_chunks()
         order = np.lexsort([table.column(c).to_numpy() for c in ("start", "cluster")] + [table.column("doc_id").fill_null(-(1 << 63)).to_numpy()])
         table = table.take(pa.array(order))
-        where, slot, offset, fill = pack(table.column("size").to_numpy(), table.column("source_hash").to_numpy(), table.column("cluster").to_numpy(), capacity, per_source)
+        where, slot, offset, fill = pack(table.column("size").to_numpy(), table.column("source_hash").to_numpy(), table.column("cluster").to_numpy(), capacity, per_source, empty_conflict=False)
         shard = pa.array(np.full(len(where), key[0].as_py(), np.int64))
         columns = [shard, pa.array(where), pa.array(slot.astype(np.int32)), pa.array(offset), *(table.column(c) for c in ("doc_id", "piece", "start", "size", "source_hash", "cluster")), pa.array(fill[where] if len(where) else where)]
         return pa.table(columns, names=["shard", "bin", "slot", "offset", "doc_id", "piece", "start", "size", "source_hash", "cluster", "fill"])

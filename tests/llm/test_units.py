@@ -397,6 +397,14 @@ def test_best_fit_against_a_plain_loop():
         assert offset[own].tolist() == (np.cumsum(sizes[own]) - sizes[own]).tolist() and fill[b] == sizes[own].sum()
 
 
+def test_empty_items_open_no_bins():
+    sizes, same = np.array([600, 500, *[0] * 300]), np.zeros(302, int)
+    where, slot, offset, fill = packing.pack(sizes, same, np.array([1, 2, *[3] * 300]), 1000, 2, empty_conflict=False)
+    assert len(fill) == 2 and fill.tolist() == [600, 500] and where[:2].tolist() == [0, 1] and set(where[2:].tolist()) == {0}
+    assert sorted(slot[where == 0].tolist()) == list(range(301)) and (offset[2:] == 600).all()
+    assert len(packing.pack(sizes, same, np.array([1, 2, *[3] * 300]), 1000, 2)[3]) == 300
+
+
 # --- trees
 
 
