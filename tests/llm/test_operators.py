@@ -3,13 +3,14 @@
 import hashlib
 import random
 import shutil
+import time
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkward.llm import chat_format, exact_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
+from sparkward.llm import chat_format, common, exact_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 from sparkward.llm.bpe import bpe_round_trip
 from sparkward.llm.components import components
 from sparkward.llm.license_scan import license_scan
@@ -154,6 +155,42 @@ def test_documents_without_ids_long_texts_and_repeats(spark, monkeypatch):
         assert sorted((-(1 << 63) if x["doc_id"] is None else x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got) == wanted
 
 
+def shuffled_bytes(spark):
+    time.sleep(0.3)  # the status store takes up what tasks report some time later
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(k).totalShuffleWrite() for k in range(told.size()))
+
+
+def test_hot_strings_in_many_settings_move_little(spark):
+    r = random.Random(31)
+    setting = lambda: bytes(r.choice(range(97, 123)) for _ in range(70)).decode()
+    rows = [(i, "".join(f" {setting()} a phrase that all of these texts share" for _ in range(25))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1][500:1900]) for i in range(0, 300, 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = shuffled_bytes(spark)
+    with common.tables_made() as made:
+        got = suffix_dedup.suffix_dedup(d, hot=1).collect()
+    assert not made  # no copy of the pieces besides the exchanges
+    assert shuffled_bytes(spark) - before < 8 * sum(len(t) for _, t in rows)
+    expected = removed_by_hand(rows)
+    assert sorted((x["doc_id"], x["n_removed"], x["n_spans"]) for x in got) == sorted((i, *expected[i, t.encode()]) for i, t in rows)
+
+
+def test_copies_of_a_text_are_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
+    text = prose(120)
+    rows = [(i, text) for i in range(90, 30, -1)] + [(None, text), (29, text + prose(40)), (None, prose(50) + text[:400]), (95, "tiny"), (96, "tiny")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert suffix_dedup._crowds(d)["salts"].tolist() == [-(-61 * len(text) // 4000)]
+    expected = removed_by_hand(rows)
+    key = lambda i: -(1 << 63) if i is None else i
+    for hot in (2000, 1):
+        got = suffix_dedup.suffix_dedup(d, hot=hot).collect()
+        assert sorted((key(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got) == sorted((key(i), len(t), *expected[key(i), t.encode()]) for i, t in rows)
+
+
 def test_blocks_of_a_large_group_merge_alike():
     import numpy as np
 
