@@ -89,6 +89,18 @@ def test_baseline(spark, repo, tmp_path):
     assert read_baseline(spark, path).count() == 0
 
 
+def test_the_last_finding_of_a_key_counts_in_a_baseline(spark, tmp_path):
+    """Many findings of few keys, in many partitions of any order: the file has those of a key in order of ord."""
+    path = str(tmp_path / "base.json")
+    n = F.col("ord")
+    found = spark.range(5000).select((F.lit(4999) - F.col("id")).alias("ord")).repartition(16).select("ord", F.lit("AI001").alias("rule_id"), F.concat(F.lit("f"), n % 3).alias("file"), (n % 5).cast("int").alias("line"), F.when(n % 7 == 0, "high").otherwise("low").alias("severity"), (n / 5000).alias("confidence"))
+    write_baseline(found, path)
+    held = {}
+    for r in read_baseline(spark, path).orderBy("ord").collect():
+        held.setdefault((r["file"], r["line"]), []).append(r["confidence"])
+    assert len(held) == 15 and all(c == sorted(c) for c in held.values()) and sum(map(len, held.values())) == 5000
+
+
 def greedy(findings, directives):
     left, out = sorted(directives), []
     for line, ord_ in sorted(findings):
