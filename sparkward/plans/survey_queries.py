@@ -32,7 +32,7 @@ query, _F, _GROUPS, _RANK = Q.query, Q._F, Q._GROUPS, Q._RANK
 
 def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    return Q._table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("src/"), key, F.lit(".ts")).alias("file"), F.format_string(Q._SOURCE, key).alias("text"))
+    return X.spread(Q._table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.lit("r").alias("repo"), F.concat(F.lit("src/"), key, F.lit(".ts")).alias("file"), F.format_string(Q._SOURCE, key).alias("text"))
 
 
 _PART_FILE = "'src/p' || p_partkey || '.ts'"
@@ -48,22 +48,22 @@ def scan_part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_PART_FILE} AS file, callee, line::INT AS line, n::INT AS n_args FROM part, (VALUES ('console.log', 6, 2), ('openai.chat.completions.create', 7, 1), ('requireAuth', 8, 1), ('anthropic.messages.create', 9, 1), ('JSON.stringify', 9, 1)) v(callee, line, n)")
 def source_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.calls(X.extract(_part_files(spark, sf_dir))).select("file", F.col("callee_text").alias("callee"), F.col("start_line").alias("line"), F.size("args").alias("n_args"))
+    return X.calls(X.extract(_part_files(spark, sf_dir), ("calls",))).select("file", F.col("callee_text").alias("callee"), F.col("start_line").alias("line"), F.size("args").alias("n_args"))
 
 
 @query(f"SELECT {_PART_FILE} AS file, callee FROM part, (VALUES ('openai.chat.completions.create'), ('anthropic.messages.create')) v(callee)")
 def calls_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.calls_named(X.calls(X.extract(_part_files(spark, sf_dir))), "CREATE").select("file", F.col("callee_text").alias("callee"))
+    return X.calls_named(X.calls(X.extract(_part_files(spark, sf_dir), ("calls",))), "CREATE").select("file", F.col("callee_text").alias("callee"))
 
 
 @query(f"SELECT {_PART_FILE} AS file, 'AI001' AS detector, 7 AS line, '`Hello ${{copy}}` + \"!\"' AS node FROM part UNION ALL SELECT {_PART_FILE}, 'AI004', 7, '`Hello ${{copy}}` + \"!\"' FROM part")
 def prompt_concatenations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.concatenations(X.call_prompt_nodes(X.extract(_part_files(spark, sf_dir)))).select("file", "detector", F.col("node_line").alias("line"), F.col("node_text").alias("node"))
+    return X.concatenations(X.call_prompt_nodes(X.extract(_part_files(spark, sf_dir), ("nodes",)))).select("file", "detector", F.col("node_line").alias("line"), F.col("node_text").alias("node"))
 
 
 @query(f"SELECT {_PART_FILE} AS file, name, origin FROM part, (VALUES ('body', 'unknown'), ('copy', 'identifier'), ('answer', 'call')) v(name, origin)")
 def variable_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.variable_origins(X.decls(X.extract(_part_files(spark, sf_dir)))).select("file", F.col("name_text").alias("name"), "origin")
+    return X.variable_origins(X.decls(X.extract(_part_files(spark, sf_dir), ("decls",)))).select("file", F.col("name_text").alias("name"), "origin")
 
 
 @query(f"SELECT {_PART_FILE} AS file, 'X1' AS rule_id, 8 AS line FROM part")

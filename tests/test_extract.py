@@ -67,3 +67,26 @@ def test_deeply_nested_templates(spark):
     text = "const a = " + "`${" * 2000 + "f(1)" + "}`" * 2000 + ";"
     row = X.extract(spark.createDataFrame([("r", "a.ts", text)], "repo string, file string, text string")).first()
     assert row["error"] is None and [c["callee_text"] for c in row["calls"]] == ["f"]
+
+
+def test_sources_of_one_partition_are_read_in_many_tasks(spark):
+    """A small table of many sources is one task; its files are spread before they are read, and still all there."""
+    from pyspark.sql import functions as F
+
+    from sparkward.sources import extract as X
+
+    files = spark.range(300, numPartitions=1).select(F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("file"), F.lit("const a = req.body; openai.create(`x ${a}`, [1])").alias("text"))
+    rows = X.extract(files, ("calls",)).select("file", F.size("calls").alias("n"), F.size("decls").alias("d"), F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in rows}) >= 8
+    assert {r["file"] for r in rows} == {f"f{k}" for k in range(300)} and {(r["n"], r["d"]) for r in rows} == {(1, 0)}
+
+
+def test_facts_travel_whole(spark):
+    """Facts come out of Spark as the extractor made them, empty files and unreadable ones included."""
+    from sparkward.sources import extract as X
+
+    texts = {"a.ts": "export async function f(req, { x }) { const t = req.body;\n openai.create({ prompt: 'é' + t, messages: [{ content: JSON.stringify(t) }] }); }", "b.ts": "", "c.ts": None, "d.ts": "f("}
+    got = {r["file"]: r.asDict(recursive=True) for r in X.extract(spark.createDataFrame([("r", *x) for x in texts.items()], "repo string, file string, text string")).collect()}
+    assert got.keys() == texts.keys() and got["d.ts"]["error"] and not got["d.ts"]["calls"]
+    for name in ("a.ts", "b.ts", "c.ts"):
+        assert {k: got[name][k] for k in X.KINDS} == facts_of(texts[name] or "") and got[name]["error"] is None
