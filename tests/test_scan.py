@@ -111,6 +111,14 @@ def greedy(findings, directives):
     return sorted(out)
 
 
+def test_findings_meet_directives_without_being_computed_twice(spark):
+    findings = spark.range(777).select(F.lit("a").alias("key"), F.col("id").cast("int").alias("line"), F.col("id").alias("ord"), F.concat(F.lit("f"), "id").alias("finding"))
+    directives = spark.range(5).select(F.lit("a").alias("key"), (F.col("id") * 10).cast("int").alias("line"), F.concat(F.lit("r"), "id").alias("reason"))
+    told = I.match_first_in_first_out(findings, directives, ["key"], ("finding",), ("reason",))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 777") == 1
+    assert [tuple(r) for r in told.where("reason IS NOT NULL").orderBy("ord").select("ord", "reason", "directive_line").collect()] == [(1, "r0", 0), (11, "r1", 10), (21, "r2", 20), (31, "r3", 30), (41, "r4", 40)]
+
+
 def test_directives_match_a_greedy_loop(spark):
     import random
 
